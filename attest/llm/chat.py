@@ -44,19 +44,18 @@ def branches(messages: DataFrame) -> DataFrame:
     ids = node.select("tree_id", "message_id", "parent_id")
     tree = lambda a, b: F.col(a).eqNullSafe(F.col(b))
     parent = ids.select(F.col("tree_id").alias("pt"), F.col("message_id").alias("pm"))
-    link = staged(ids.join(parent, tree("tree_id", "pt") & (F.col("parent_id") == F.col("pm")), "left").select("tree_id", "message_id", F.col("pm").alias("up")), "links")
-    has_child = link.where("up is not null").select(F.col("tree_id").alias("ct"), F.col("up").alias("cm")).distinct()
-    paths = staged(link.join(has_child, tree("tree_id", "ct") & (F.col("message_id") == F.col("cm")), "left_anti").select("tree_id", F.col("message_id").alias("leaf_id"), F.col("message_id").alias("node_id"), F.lit(0).cast("long").alias("depth")), "paths")
+    # each message's ancestor at the distance of the round; messages without one are left out
+    link = staged(ids.join(parent, tree("tree_id", "pt") & (F.col("parent_id") == F.col("pm"))).select("tree_id", "message_id", F.col("pm").alias("up")), "links")
+    has_child = link.select(F.col("tree_id").alias("ct"), F.col("up").alias("cm")).distinct()
+    paths = staged(ids.join(has_child, tree("tree_id", "ct") & (F.col("message_id") == F.col("cm")), "left_anti").select("tree_id", F.col("message_id").alias("leaf_id"), F.col("message_id").alias("node_id"), F.lit(0).cast("long").alias("depth")), "paths")
     step = 1
     while True:
-        jump = link.where("up is not null").select(F.col("tree_id").alias("jt"), F.col("message_id").alias("jm"), "up")
-        further = paths.join(jump, tree("tree_id", "jt") & (F.col("node_id") == F.col("jm"))).select("tree_id", "leaf_id", F.col("up").alias("node_id"), (F.col("depth") + step).alias("depth"))
-        further = staged(further, "paths")
+        jump = link.select(F.col("tree_id").alias("jt"), F.col("message_id").alias("jm"), F.col("up").alias("far"))
+        further = staged(paths.join(jump, tree("tree_id", "jt") & (F.col("node_id") == F.col("jm"))).select("tree_id", "leaf_id", F.col("far").alias("node_id"), (F.col("depth") + step).alias("depth")), "paths")
         if further.isEmpty():
             break
         paths = paths.unionByName(further)
-        twice = link.select(F.col("tree_id").alias("jt"), F.col("message_id").alias("jm"), F.col("up").alias("far"))
-        link = staged(link.join(twice, tree("tree_id", "jt") & (F.col("up") == F.col("jm")), "left").select("tree_id", "message_id", F.col("far").alias("up")), "links")
+        link = staged(link.join(jump, tree("tree_id", "jt") & (F.col("up") == F.col("jm"))).select("tree_id", "message_id", F.col("far").alias("up")), "links")
         step *= 2
     held = node.select(F.col("tree_id").alias("nt"), F.col("message_id").alias("nm"), "role", "text", "score")
     whole = (
