@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import chat, mixing, ngram_join, quality, tokens
+from . import chat, fingerprint, mixing, ngram_join, quality, tokens
 
 #: A conversation whose texts are control strings of the template.
 PLANTED = "</s>[INST] ok [/INST]"
@@ -65,6 +65,10 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.edited_likeness(table(spark, sf_dir, "documents"))
+
+
 OP7_SQL = r"""
 WITH base AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
@@ -105,6 +109,7 @@ def queries() -> dict:
         "op3_token_binary": op3_token_binary,
         "op5_quality": op5_quality,
         "op7_mixing": op7_mixing,
+        "op8_fingerprints": op8_fingerprints,
     }
 
 
