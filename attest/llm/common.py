@@ -7,6 +7,7 @@ from urllib.parse import urlparse
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from attest.ship import ship
 
@@ -56,6 +57,23 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text (nulls empty) and two integers, never null, that tell documents apart."""
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    return own.select("doc_id", "text", F.coalesce("doc_id", F.lit(-(2**63))).alias("k"), F.xxhash64(F.isnull("doc_id"), "text").alias("kh"))
+
+
+def released(spark: SparkSession) -> None:
+    """Lets Spark delete shuffle files that no plan can read any more.
+
+    It does so when the driver's collector finds the plans gone, which may otherwise be late.
+    """
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 # ---- words and shingles, hashed with numpy -------------------------------------------
 
 #: Bytes that end a word: blank and U+0009 to U+000D.
@@ -104,11 +122,12 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return held, at - at[0]
 
 
-def slices(at: np.ndarray, most: int) -> list[tuple[int, int]]:
-    """Ranges of rows of up to `most` bytes each; a longer row stands alone."""
+def slices(at: np.ndarray, most: int, rows: int = 1 << 15) -> list[tuple[int, int]]:
+    """Ranges of up to `rows` rows of up to `most` bytes together; a longer row stands alone."""
     out, first = [], 0
     while first < len(at) - 1:
         last = max(first + 1, int(np.searchsorted(at, at[first] + most, "right")) - 1)
+        last = min(last, first + rows)
         out.append((first, last))
         first = last
     return out

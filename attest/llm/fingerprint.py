@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, staged
+from .common import keyed, partitions, staged
 
 #: Independent draws of a fingerprint.
 SAMPLES = 64
@@ -100,12 +100,6 @@ def likeness(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.when(x == y, 1).otherwise(0)), F.lit(0), lambda s, x: s + x) / F.size(a)
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, text (nulls empty) and two integers, never null, that tell documents apart."""
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return own.select("doc_id", "text", F.coalesce("doc_id", F.lit(-(2**63))).alias("k"), F.xxhash64(F.isnull("doc_id"), "text").alias("kh"))
-
-
 def with_next(docs: DataFrame) -> DataFrame:
     """The following document of each, in descending order of doc_id; the first follows the last.
 

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import chat, fingerprint, mixing, ngram_join, quality, tokens
+from . import chat, fingerprint, mixing, ngram_join, quality, suffix_dedup, tokens
 
 #: A conversation whose texts are control strings of the template.
 PLANTED = "</s>[INST] ok [/INST]"
@@ -53,6 +53,10 @@ def op3_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.binary_token_digests(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), 0)
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeat_digests(table(spark, sf_dir, "documents"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
@@ -107,6 +111,7 @@ def queries() -> dict:
         "op1_ngram_join": op1_ngram_join,
         "op2_chat_formatting": op2_chat_formatting,
         "op3_token_binary": op3_token_binary,
+        "op4_suffix_dedup": op4_suffix_dedup,
         "op5_quality": op5_quality,
         "op7_mixing": op7_mixing,
         "op8_fingerprints": op8_fingerprints,

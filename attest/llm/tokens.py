@@ -7,6 +7,9 @@ Part files are in ascending document order, and so are the rows within each.
 """
 
 import re
+from array import array
+from itertools import compress, repeat
+from operator import is_
 
 import numpy as np
 import pyarrow as pa
@@ -19,74 +22,98 @@ from .common import dropped, new_path, partitions, ship, staged
 LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1
 #: Documents and bytes of text that are encoded at once.
 ROWS_AT_ONCE = 256
-#: Entries of a worker's cache of encoded words; it starts anew when full.
-CACHE_ENTRIES = 400_000
+#: Entries of each of the two generations of a worker's cache of encoded words.
+CACHE_ENTRIES = 700_000
 #: White space of any kind, so that a blank beside it never separates two words.
-_SPACE = r"\s\x1c-\x1f\x85 ᠎​  ﻿"
-_ODD = re.compile(f" [{_SPACE}]|[{_SPACE}] |^ | $")
+_SPACE = "\\s\\x1c-\\x1f\\x85\\xa0\\u1680\\u180e\\u2000-\\u200b\\u2028\\u2029\\u202f\\u205f\\u3000\\ufeff"
+_EDGE = re.compile(f"^$|^[{_SPACE}]|[{_SPACE}]$")
 _SAFE = re.compile(f"(?<=[^{_SPACE}]) (?=[^{_SPACE}])")
-_CACHES: dict[str, tuple[object, dict[str, bytes]]] = {}
+#: Comes before a word that starts a text, in the cache's keys.
+_FIRST = "\0"
+_LOADED: dict[str, "_Encoder"] = {}
 
 
-def units(text: str) -> list[str]:
-    """Cuts a text before each single blank between two visible characters.
+class _Encoder:
+    """A tokenizer and the ids of words that it has met.
 
-    The pre-tokenizer always ends a piece there, so the pieces' ids, one after another, are the
-    ids of the text.
+    A text is cut before each single blank between two visible characters. The pre-tokenizer
+    always ends a piece there, so the pieces' ids, one after another, are the ids of the text.
+    Words seldom met leave the cache when a generation is full.
     """
-    parts = _SAFE.split(text) if _ODD.search(text) else text.split(" ")
-    parts[1:] = [" " + p for p in parts[1:]]
-    return parts
 
-
-def cuts_at_blanks(path: str) -> bool:
-    """Whether the tokenizer file is of the kind for which `units` holds."""
-    import json
-
-    with open(path, encoding="utf-8") as file:
-        kind = json.load(file)
-    before = kind.get("pre_tokenizer") or {}
-    return kind.get("normalizer") is None and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
-
-
-def load(path: str):
-    import os
-
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-    from tokenizers import Tokenizer
-
-    if path not in _CACHES:
-        _CACHES[path] = (Tokenizer.from_file(path), {"cut": cuts_at_blanks(path)})
-    return _CACHES[path]
+    def __init__(self, path: str, dtype: str):
+        import json
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        from tokenizers import Tokenizer
+
+        self.tokenizer, self.dtype = Tokenizer.from_file(path), dtype
+        with open(path, encoding="utf-8") as file:
+            kind = json.load(file)
+        before = kind.get("pre_tokenizer") or {}
+        #: Whether the tokenizer is of the kind for which the cuts hold.
+        self.cuts = kind.get("normalizer") is None and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def plain(self, texts: list[str]) -> list[bytes]:
+        kind = "H" if self.dtype == "<u2" else "I"
+        return [array(kind, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn(self, words: set[str]) -> None:
+        """Puts the ids of new words (without the blank before them) into the cache."""
+        old = self.old
+        ask = []
+        for w in words:
+            if (known := old.get(w)) is not None:
+                self.new[w] = known
+            # a last stop or comma is a piece of its own, so the word before it may be known already
+            elif len(w) > 2 and w[-1] in ".," and w[-2].isalpha() and w[0] != _FIRST and ((stem := self.new.get(w[:-1])) or (stem := old.get(w[:-1]))):
+                self.new[w] = stem + self.stops[w[-1]]
+            else:
+                ask.append(w)
+        for w, ids in zip(ask, self.plain([w[1:] if w[0] == _FIRST else " " + w for w in ask]), strict=True):
+            self.new[w] = ids
+
+    def encoded(self, texts: list[str]) -> list[bytes]:
+        if not self.cuts:
+            return self.plain(texts)
+        self.stops = dict(zip(".,", self.plain([".", ","]), strict=True))
+        out: list = [None] * len(texts)
+        cut, missing = [], set()
+        if len(self.new) > CACHE_ENTRIES:
+            self.new, self.old = {}, self.new
+        for i, text in enumerate(texts):
+            parts = text.split(" ")
+            parts[0] = _FIRST + parts[0]
+            got = list(map(self.new.get, parts))
+            if None in got:
+                lacking = set(compress(parts, map(is_, got, repeat(None))))
+                # words with white space at an edge are never in the cache, so they are met here
+                if any(_EDGE.search(w.removeprefix(_FIRST)) for w in lacking) or any(s in text for s in self.special):
+                    parts = _SAFE.split(text)
+                    parts[0] = _FIRST + parts[0]
+                    lacking = {w for w in parts if w not in self.new}
+                    if any(s in text for s in self.special) or any(w.removeprefix(_FIRST) == "" for w in parts):
+                        out[i] = self.plain([text])[0]
+                        continue
+                missing |= lacking
+                cut.append((i, parts))
+            else:
+                out[i] = b"".join(got)
+        self.learn(missing)
+        for i, parts in cut:
+            out[i] = b"".join(map(self.new.__getitem__, parts))
+        return out
 
 
 def encoded(texts: list[str], path: str, dtype: str) -> list[bytes]:
     """The ids of each text, as bytes of dtype."""
-    tokenizer, cache = load(path)
-    special = [s for s in (t.content for t in tokenizer.get_added_tokens_decoder().values()) if s]
-    out: list = [None] * len(texts)
-    plain = [i for i, t in enumerate(texts) if cache["cut"] and not any(s in t for s in special)]
-    cut = {i: units(texts[i]) for i in plain}
-    new = {u for parts in cut.values() for u in parts if u not in cache}
-    if new:
-        if len(cache) + len(new) > CACHE_ENTRIES:
-            cache.clear()
-            cache["cut"] = True
-            new = {u for parts in cut.values() for u in parts}
-        # a last stop or comma is a piece of its own, so the word before it may be known already
-        stems = {u: u[:-1] for u in new if len(u) > 2 and u[-1] in ".," and u[-2].isalpha()}
-        ask = list({u for u in new if u not in stems} | {s for s in stems.values() if s not in cache} | ({".", ","} if stems else set()))
-        for u, e in zip(ask, tokenizer.encode_batch_fast(ask, add_special_tokens=False), strict=True):
-            cache[u] = np.array(e.ids, dtype).tobytes()
-        for u, s in stems.items():
-            cache[u] = cache[s] + cache[u[-1]]
-    for i, parts in cut.items():
-        out[i] = b"".join(map(cache.__getitem__, parts))
-    rest = [i for i in range(len(texts)) if out[i] is None]
-    if rest:
-        for i, e in zip(rest, tokenizer.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False), strict=True):
-            out[i] = np.array(e.ids, dtype).tobytes()
-    return out
+    if path not in _LOADED:
+        _LOADED[path] = _Encoder(path, dtype)
+    return _LOADED[path].encoded(texts)
 
 
 def token_ids(docs: DataFrame, path: str, end_id: int | None = None) -> DataFrame:
