@@ -11,8 +11,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from .common import mix, ship, slices, text_bytes
+from .common import mix, ship, text_bytes
 
 #: Hashed features.
 BITS = 18
@@ -165,29 +166,30 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Model:
     return Model(np.stack([(w * ratio), ratio * ratio]).astype(np.float32), bias, slope, shift)
 
 
-def scored(docs: DataFrame, model: Model, threshold: float = 0.3, keep: list[str] | None = None) -> DataFrame:
-    """Adds score (0 to 1) and predicted to doc_id and the columns of `keep`, for whole texts.
+def scored(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
+    """score (0 to 1) and predicted (1 from the threshold on) for each document, and doc, its row.
 
-    Null and empty texts have no n-grams and score what the bias says.
+    Whole texts count. Null and empty texts have no n-grams and score what the bias says; repeated
+    rows score alike; labels and other columns are never inputs; an empty table gives no rows.
     """
-    keep = keep or []
     both = model.weights if model.weights.ndim == 2 else np.zeros((2, 1 << BITS), np.float32)
 
     def each(batches):
         for batch in batches:
             data, at = text_bytes(batch.column(0))
             m = np.empty(batch.num_rows)
-            for first, last in slices(at, 1 << 22):
-                for i in range(first, last):
-                    at_row = grams(data[at[i] : at[i + 1]])
-                    dot, square = both[:, at_row].sum(1, dtype=np.float64) if len(at_row) else (0.0, 0.0)
-                    m[i] = dot / max(np.sqrt(square), 1e-12) + model.bias
+            for i in range(batch.num_rows):
+                own = grams(data[at[i] : at[i + 1]])
+                dot, square = both[:, own].sum(1, dtype=np.float64) if len(own) else (0.0, 0.0)
+                m[i] = dot / max(np.sqrt(square), 1e-12) + model.bias
             score = model.scores(m)
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(score), pa.array((score >= threshold).astype(np.int32))], [*batch.schema.names[1:], "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(score), pa.array((score >= threshold).astype(np.int32))], ["doc", "score", "predicted"])
 
     ship(docs.sparkSession)
-    taken = docs.select(F.col("text").alias("__text"), "doc_id", *keep)
-    from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
+    taken = docs.select("text", F.struct(*docs.columns).alias("doc"))
+    return taken.mapInArrow(each, StructType([taken.schema["doc"], StructField("score", DoubleType()), StructField("predicted", IntegerType())]))
 
-    kinds = StructType([*taken.schema.fields[1:], StructField("score", DoubleType()), StructField("predicted", IntegerType())])
-    return taken.mapInArrow(each, kinds)
+
+def accepted(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
+    """The documents that score at least the threshold, with all their columns."""
+    return scored(docs, model, threshold).where("predicted = 1").select("doc.*")

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import chat, fingerprint, mixing, ngram_join, quality, suffix_dedup, tokens
+from . import chat, fingerprint, mixing, ngram_join, quality, spm, suffix_dedup, tokens
 
 #: A conversation whose texts are control strings of the template.
 PLANTED = "</s>[INST] ok [/INST]"
@@ -61,7 +61,7 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
     found = quality.scored(docs, model)
-    return found.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+    return found.select("doc.doc_id", quality.held_out(F.col("doc.doc_id")).alias("held_out"), "score", "predicted")
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,6 +73,10 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_likeness(table(spark, sf_dir, "documents"))
 
 
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spm.pieces(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model")).drop("ids")
+
+
 OP7_SQL = r"""
 WITH base AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
@@ -115,6 +119,7 @@ def queries() -> dict:
         "op5_quality": op5_quality,
         "op7_mixing": op7_mixing,
         "op8_fingerprints": op8_fingerprints,
+        "op9_sentencepiece": op9_sentencepiece,
     }
 
 
