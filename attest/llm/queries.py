@@ -3,7 +3,8 @@
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import chat, fingerprint, mixing, ngram_join, quality, spm, suffix_dedup, tokens
+from . import chat, chroma, fingerprint, mixing, ngram_join, quality, spm, suffix_dedup, tokens
+from .common import staged
 
 #: A conversation whose texts are control strings of the template.
 PLANTED = "</s>[INST] ok [/INST]"
@@ -77,6 +78,15 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spm.pieces(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model")).drop("ids")
 
 
+def op10_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    media = chroma.with_melodies(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    prints = staged(chroma.fingerprints(media, "vec_id", "audio"), "prints")
+    known = staged(chroma.classes(prints, "vec_id"), "classes")
+    found = chroma.aligned(known, "vec_id")
+    row = known.select("vec_id", "class_id", F.size("prints").cast("long").alias("n_prints"))
+    return row.join(found, (F.col("vec_id") == F.col("query_id")) & (F.col("vec_id") == F.col("class_id")), "left").drop("query_id")
+
+
 OP7_SQL = r"""
 WITH base AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
@@ -120,6 +130,7 @@ def queries() -> dict:
         "op7_mixing": op7_mixing,
         "op8_fingerprints": op8_fingerprints,
         "op9_sentencepiece": op9_sentencepiece,
+        "op10_chroma": op10_chroma,
     }
 
 
