@@ -20,7 +20,7 @@ def ship(spark) -> None:
     root = Path(__file__).resolve().parent
     held = io.BytesIO()
     with zipfile.ZipFile(held, "w") as archive:
-        for path in sorted(root.rglob("*.py")):
+        for path in sorted([*root.rglob("*.py"), *root.rglob("*.json")]):
             archive.write(path, f"{root.name}/{path.relative_to(root)}")
     target = os.path.join(tempfile.mkdtemp(), f"{root.name}_src.zip")
     Path(target).write_bytes(held.getvalue())
