@@ -1,11 +1,258 @@
-"""Queries of the gate."""
+"""Queries of the gate over the test tables, and SQL with the same rows where it can say it.
 
-FLAGSHIP = ""
+Documents are the knowledge base, benchmark items the questions, user turns and the assistant
+turns after them the questions and drafts of conversations.
+"""
+
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..functions.fixed import ABBREVIATIONS
+from ..operators import probes, providers, retrieval
+from ..operators.chunking import chunk_documents
+from ..operators.grounding import check_claims, coverage, is_checkable_claim, relevance, with_evidence
+from ..sources import readers
+from ..sources.sinks import audit_log
+from ..streaming import webhook
+from . import sql
+from .engine import Gate
+
+FLAGSHIP = "answers"
+DOCS = "SELECT doc_id::VARCHAR AS chunk_id, text FROM documents"
+ITEMS = "SELECT item_id::VARCHAR AS question_id, text AS question FROM benchmark"
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return readers.from_table(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def whole_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document as one chunk."""
+    docs = documents(spark, sf_dir)
+    return docs.select(F.col("doc_id").alias("chunk_id"), "doc_id", "text", F.lit(0).alias("start"), F.length("text").alias("end"), "metadata")
+
+
+def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("question_id"), F.col("text").alias("question"))
+
+
+def exchanges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """question_id, question and draft of user turns that an assistant turn follows."""
+    said = table(spark, sf_dir, "conversations")
+    place = Window.partitionBy("conv_id").orderBy("turn")
+    after = said.select("conv_id", "turn", "role", "text", F.lead("role").over(place).alias("next_role"), F.lead("text").over(place).alias("draft"))
+    return after.where("role = 'user' and next_role = 'assistant'").select(F.concat_ws("/", "conv_id", "turn").alias("question_id"), F.col("text").alias("question"), "draft")
+
+
+def normalize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", T.normalize(F.col("text")).alias("normalized"))
+
+
+def tokenize_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.explode(T.tokenize(F.col("text"))).alias("token"))
+    return docs.groupBy("token").agg(F.count("*").alias("n"))
+
+
+def sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", F.posexplode(T.split_sentences(F.col("text"))).alias("pos", "sentence"))
+
+
+def extract_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").where(F.col("text").rlike("[0-9]"))
+    return docs.select("doc_id", F.posexplode(T.extract_numbers(F.col("text"))).alias("pos", "number"))
+
+
+def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk_documents(documents(spark, sf_dir)).select("chunk_id", "doc_id", "start", "end", F.sha2("text", 256).alias("text_sha256"))
+
+
+def bm25_index_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = retrieval.build_index(whole_chunks(spark, sf_dir))
+    return index.terms.select("term", F.col("df").cast("long").alias("df"), F.round("idf", 6).alias("idf"))
+
+
+def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = retrieval.build_index(whole_chunks(spark, sf_dir))
+    found = retrieval.search(index, questions(spark, sf_dir), 4)
+    return found.select("question_id", F.col("rank").cast("long").alias("rank"), "chunk_id", F.round("score", 6).alias("score"))
+
+
+def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Vectors of documents and of questions, by id; embeddings stand in for both."""
+    own = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("id"), F.col("embedding").alias("vector"))
+    items = questions(spark, sf_dir).select("question_id")
+    return own.withColumnRenamed("id", "chunk_id"), own.withColumnRenamed("id", "question_id").join(items, "question_id", "left_semi")
+
+
+def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    of_chunks, of_questions = _vectors(spark, sf_dir)
+    pairs = of_questions.select("question_id", F.col("vector").alias("q")).crossJoin(of_chunks.select("chunk_id", F.col("vector").alias("c")))
+    score = F.round(retrieval.cosine(F.col("q"), F.col("c")), 6)
+    best = Window.partitionBy("question_id").orderBy(F.desc("score"), "chunk_id")
+    return pairs.select("question_id", "chunk_id", score.alias("score")).withColumn("rank", F.row_number().over(best).cast("long")).where("rank <= 4")
+
+
+def hybrid_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    of_chunks, of_questions = _vectors(spark, sf_dir)
+    index = retrieval.build_index(whole_chunks(spark, sf_dir))
+    found = retrieval.search(index, questions(spark, sf_dir), 4, 0.35, of_chunks, of_questions)
+    return found.select("question_id", F.col("rank").cast("long").alias("rank"), "chunk_id", F.round("score", 5).alias("score"))
+
+
+def checkable_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = exchanges(spark, sf_dir).select("question_id", F.posexplode(T.split_sentences(F.col("draft"))).alias("pos", "sentence"))
+    return said.select("question_id", F.col("pos").cast("long").alias("pos"), is_checkable_claim(F.col("sentence")).alias("checkable"))
+
+
+def turn_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of each user turn the assistant's reply covers, all words weighing alike."""
+    none = F.array().cast("array<struct<tokens:array<string>>>")
+    return exchanges(spark, sf_dir).select("question_id", F.round(relevance(F.col("question"), F.col("draft"), none), 6).alias("relevance"))
+
+
+def turn_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claim coverage of each assistant turn by its user turn, all words weighing alike."""
+    own = exchanges(spark, sf_dir)
+    none = F.create_map().cast("map<string,double>")
+    return own.select("question_id", F.round(coverage(T.tokenize(F.col("draft")), F.array_distinct(T.tokenize(F.col("question"))), none), 6).alias("coverage"))
+
+
+def _gate(spark: SparkSession, sf_dir: str) -> Gate:
+    return Gate.from_documents(documents(spark, sf_dir))
+
+
+def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A decision for every benchmark item, with the best chunk as the draft."""
+    found = _gate(spark, sf_dir).ask(questions(spark, sf_dir))
+    return found.select("question_id", "action", "verdict", F.round("confidence", 4).alias("confidence"), F.size("claim_checks").alias("claims"), F.transform("citations", lambda c: c["chunk_id"]).alias("cited"))
+
+
+def _conversation_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = exchanges(spark, sf_dir).persist()
+    return _gate(spark, sf_dir).ask(own.select("question_id", "question"), providers.scripted(own.select("question_id", "draft")))
+
+
+def conversation_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _conversation_answers(spark, sf_dir).select("question_id", "action", "verdict", F.round("confidence", 4).alias("confidence"))
+
+
+def audit_by_action(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return probes.audit_metrics(_gate(spark, sf_dir).ask(questions(spark, sf_dir)))
+
+
+def audit_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_log(_gate(spark, sf_dir).ask(questions(spark, sf_dir)))
+
+
+def claim_support(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every claim of every benchmark item, held against its best chunks."""
+    gate = _gate(spark, sf_dir)
+    asked = questions(spark, sf_dir)
+    evidence = with_evidence(gate.retrieve(asked), gate.chunks).persist()
+    return check_claims(asked.withColumnRenamed("question", "draft"), evidence, gate.checker).select("question_id", "pos", "supported", F.round("support_score", 6).alias("support_score"), "supporting_chunk_ids", "unsupported_numbers", "reason")
+
+
+def _suite(spark: SparkSession, sf_dir: str) -> tuple[Gate, DataFrame]:
+    """Probes from the documents that have figures, against a gate of these documents."""
+    docs = documents(spark, sf_dir).where(F.col("text").rlike("[0-9]"))
+    gate = Gate.from_documents(docs)
+    return gate, probes.generate_probes(gate.chunks, 1)
+
+
+def probe_suite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _suite(spark, sf_dir)[1]
+
+
+def probe_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gate, suite = _suite(spark, sf_dir)
+    return probes.by_kind(gate.probe(suite))
+
+
+def _payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as webhook bodies."""
+    own = table(spark, sf_dir, "events")
+    key = F.struct(F.concat(F.col("user_id").cast("string"), F.when(F.col("event_id") % 7 == 0, "@g.us").otherwise("@s.whatsapp.net")).alias("remoteJid"), (F.col("event_id") % 5 == 0).alias("fromMe"), F.col("event_id").cast("string").alias("id"))
+    data = F.struct(key.alias("key"), F.col("event_type").alias("pushName"), F.struct(F.col("event_type").alias("conversation")).alias("message"))
+    body = F.struct(F.when(F.col("event_id") % 3 == 0, "messages.upsert").when(F.col("event_id") % 3 == 1, "connection.update").alias("event"), F.lit("main").alias("instance"), data.alias("data"))
+    return own.select(F.to_json(body).alias("value"))
+
+
+def webhook_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return webhook.parse_webhook(_payloads(spark, sf_dir)).withColumn("actionable", webhook.is_actionable())
+
+
+def mask_identifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    jid = F.concat("c_name", F.lit("@s.whatsapp.net"))
+    return table(spark, sf_dir, "customer").select("c_custkey", webhook.mask_identifier(jid).alias("masked"))
+
+
+def mask_secret(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").select("c_custkey", webhook.mask_secret(F.col("c_custkey").cast("string")).alias("masked"))
+
+
+def packs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = [(name, i, line) for name in readers.available_packs() for i, line in enumerate(readers.load_pack(name))]
+    return spark.createDataFrame(rows, "pack string, pos int, statement string")
 
 
 def queries() -> dict:
-    return {}
+    names = (
+        "normalize_text tokenize_counts sentence_split extract_numbers chunks bm25_index_stats bm25_topk dense_topk hybrid_topk checkable_claims turn_relevance turn_coverage "
+        "claim_support answers conversation_verdicts audit_by_action audit_lines probe_suite probe_report webhook_parse mask_identifier mask_secret packs"
+    ).split()
+    return {name: globals()[name] for name in names}
+
+
+_RANKED = "SELECT question_id, rank, chunk_id, {score} AS score FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id) AS rank, max(score) OVER (PARTITION BY question_id) AS peak FROM {table}) WHERE rank <= 4 AND score > 0"
+_EXCHANGES = "SELECT conv_id || '/' || turn AS question_id, text AS question, draft FROM (SELECT *, lead(role) OVER w AS next_role, lead(text) OVER w AS draft FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE role = 'user' AND next_role = 'assistant'"
+
+
+def _plain_sentences(key: str, text: str, source: str) -> str:
+    """Sentences: blanks after abbreviations are put aside, the other boundaries are marked and cut."""
+    short = "|".join(ABBREVIATIONS)
+    held = rf"regexp_replace(coalesce({text}, ''), '^\s+|\s+$', '', 'g')"
+    for _ in range(2):  # matches share their last letter with the next one
+        held = rf"regexp_replace({held}, '((?:^|[\s(])(?i:{short})\.)\s+([A-ZÀ-ÖØ-Þ0-9])', '\1' || chr(2) || '\2', 'g')"
+    for _ in range(2):
+        held = rf"regexp_replace({held}, '([.!?;])\s+([A-ZÀ-ÖØ-Þ0-9])', '\1' || chr(1) || '\2', 'g')"
+    return rf"SELECT {key}, list_filter(list_transform(string_split_regex(replace({held}, chr(2), ' '), '[\x01\n]'), lambda x: trim(x, ' ' || chr(9) || '-•*')), lambda x: x <> '') AS sentences FROM ({source})"
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    bm25 = sql.bm25(DOCS, ITEMS)
+    asked = "list_filter({}, lambda t: NOT regexp_matches(t, '[0-9]'))"
+    share = lambda a, b: f"CASE WHEN len({a}) = 0 THEN {{}} ELSE round(len(list_filter({a}, lambda t: list_contains({b}, t))) / len({a})::DOUBLE, 6) END"
+    own = f"SELECT question_id, {asked.format(sql.tokens('question'))} AS q, {sql.tokens('draft')} AS d, {asked.format(sql.tokens('draft'))} AS dl, {sql.tokens('question')} AS qa FROM ({_EXCHANGES})"
+    vectors = "SELECT b.item_id::VARCHAR AS question_id, e.embedding AS q FROM benchmark b JOIN embeddings e ON e.vec_id = b.item_id"
+    cosine = "list_cosine_similarity(q::DOUBLE[], embedding::DOUBLE[])"
+    greeting = "^(ola|oi|bom dia|boa tarde|boa noite|hello|hi|hey|ciao|buongiorno)\\b|^(obrigad|thank|grazie|de nada|you''re welcome|disponha)|^(posso ajudar|precisa de mais|anything else|algo mais|mais alguma)|^(claro|certamente|com certeza|sure|of course|certo)\\b[.!,]?$|^(vou verificar|deixa comigo|um momento|one moment|let me check)|\\?$"
+    return {
+        "normalize_text": f"SELECT doc_id, {sql.normalize('text')} AS normalized FROM documents",
+        "tokenize_counts": f"SELECT token, count(*) AS n FROM (SELECT unnest({sql.tokens('text')}) AS token FROM documents) GROUP BY token",
+        "sentence_split": f"SELECT doc_id, (generate_subscripts(sentences, 1) - 1)::INTEGER AS pos, unnest(sentences) AS sentence FROM ({_plain_sentences('doc_id', 'text', 'SELECT * FROM documents')})",
+        "bm25_index_stats": f"WITH {bm25} SELECT term, df, round(idf, 6) AS idf FROM terms",
+        "bm25_topk": f"WITH {bm25} {_RANKED.format(score='round(score / peak, 6)', table='scores')}",
+        "dense_topk": f"SELECT question_id, chunk_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id) AS rank FROM (SELECT question_id, vec_id::VARCHAR AS chunk_id, round({cosine}, 6) AS score FROM ({vectors}), embeddings)) WHERE rank <= 4",
+        "hybrid_topk": f"""WITH {bm25},
+peaks AS (SELECT question_id, max(score) AS peak FROM scores GROUP BY question_id),
+dense AS (SELECT question_id, vec_id::VARCHAR AS chunk_id, greatest({cosine}, 0) AS dense FROM ({vectors}), embeddings),
+lexical AS (SELECT s.question_id, chunk_id, CASE WHEN peak > 0 THEN score / peak ELSE 0 END AS lexical FROM scores s JOIN peaks p ON s.question_id = p.question_id),
+blend AS (SELECT coalesce(d.question_id, l.question_id) AS question_id, coalesce(d.chunk_id, l.chunk_id) AS chunk_id, round(0.65::DOUBLE * coalesce(lexical, 0) + 0.35::DOUBLE * coalesce(dense, 0), 9) AS score FROM dense d FULL JOIN lexical l ON d.question_id = l.question_id AND d.chunk_id = l.chunk_id)
+{_RANKED.format(score='round(score, 5)', table='blend')}""",
+        "checkable_claims": f"SELECT question_id, pos, NOT regexp_matches({sql.normalize('sentence')}, '{greeting}') AND len({sql.tokens('sentence')}) >= 2 AS checkable FROM (SELECT question_id, generate_subscripts(sentences, 1) - 1 AS pos, unnest(sentences) AS sentence FROM ({_plain_sentences('question_id', 'draft', _EXCHANGES)}))",
+        "turn_relevance": f"SELECT question_id, {share('q', 'd').format('1.0::DOUBLE')} AS relevance FROM ({own})",
+        "turn_coverage": f"SELECT question_id, {share('dl', 'qa').format('0.0::DOUBLE')} AS coverage FROM ({own})",
+        "webhook_parse": "SELECT event_type AS text, user_id || CASE WHEN event_id % 7 = 0 THEN '@g.us' ELSE '@s.whatsapp.net' END AS sender, 'main' AS instance, event_id::VARCHAR AS message_id, event_type AS sender_name, event_id % 7 = 0 AS is_group, event_id % 7 <> 0 AND trim(event_type) <> '' AS actionable FROM events WHERE event_id % 5 <> 0 AND event_id % 3 <> 1",
+        "mask_identifier": "SELECT c_custkey, CASE WHEN length(c_name) <= 4 THEN c_name ELSE repeat('*', length(c_name) - 4) || right(c_name, 4) END || '@s.whatsapp.net' AS masked FROM customer",
+        "mask_secret": "SELECT c_custkey, CASE WHEN length(c_custkey::VARCHAR) <= 4 THEN repeat('*', length(c_custkey::VARCHAR)) ELSE repeat('*', length(c_custkey::VARCHAR) - 4) || right(c_custkey::VARCHAR, 4) END AS masked FROM customer",
+        "packs": "SELECT pack, pos, statement FROM (VALUES " + ", ".join("('{}', {}, '{}')".format(n, i, x.replace("'", "''")) for n in readers.available_packs() for i, x in enumerate(readers.load_pack(n))) + ") AS v(pack, pos, statement)",
+    }
+
+
