@@ -84,8 +84,8 @@ def without_figures(tokens: Column) -> Column:
 
 
 @cache
-def _abbreviation() -> str:
-    """A look-behind for an abbreviation, whose letters may have accents or be capitals."""
+def abbreviation() -> str:
+    """A pattern of an abbreviation after a blank; its letters may have accents or be capitals."""
     forms = []
     for word in ABBREVIATIONS:
         form = ""
@@ -103,8 +103,8 @@ def split_sentences(text: Column) -> Column:
     """
     ahead = "(?=[A-ZÀ-ÖØ-Þ0-9])"
     held = F.regexp_replace(F.coalesce(text, F.lit("")), f"(?U)^{_BLANK}+|{_BLANK}+$", "")
-    held = F.regexp_replace(held, f"(?U)(?<={_abbreviation()}){_BLANK}+{ahead}", " ")
-    parts = F.split(held, f"(?U)(?<=[.!?;])(?<!{_abbreviation()}){_BLANK}+{ahead}", -1)
+    held = F.regexp_replace(held, f"(?U)(?<={abbreviation()}){_BLANK}+{ahead}", " ")
+    parts = F.split(held, f"(?U)(?<=[.!?;])(?<!{abbreviation()}){_BLANK}+{ahead}", -1)
     lines = F.flatten(F.transform(parts, lambda p: F.split(p, "\n", -1)))
     return F.filter(F.transform(lines, lambda x: F.btrim(x, F.lit(" \t-•*"))), lambda x: x != "")
 

@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.fixed import ABBREVIATIONS
 from ..operators import probes, providers, retrieval
 from ..operators.chunking import chunk_documents
 from ..operators.grounding import check_claims, coverage, is_checkable_claim, relevance, with_evidence
@@ -216,10 +215,9 @@ _EXCHANGES = "SELECT conv_id || '/' || turn AS question_id, text AS question, dr
 
 def _plain_sentences(key: str, text: str, source: str) -> str:
     """Sentences: blanks after abbreviations are put aside, the other boundaries are marked and cut."""
-    short = "|".join(ABBREVIATIONS)
     held = rf"regexp_replace(coalesce({text}, ''), '^\s+|\s+$', '', 'g')"
     for _ in range(2):  # matches share their last letter with the next one
-        held = rf"regexp_replace({held}, '((?:^|[\s(])(?i:{short})\.)\s+([A-ZÀ-ÖØ-Þ0-9])', '\1' || chr(2) || '\2', 'g')"
+        held = rf"regexp_replace({held}, '({T.abbreviation()})\s+([A-ZÀ-ÖØ-Þ0-9])', '\1' || chr(2) || '\2', 'g')"
     for _ in range(2):
         held = rf"regexp_replace({held}, '([.!?;])\s+([A-ZÀ-ÖØ-Þ0-9])', '\1' || chr(1) || '\2', 'g')"
     return rf"SELECT {key}, list_filter(list_transform(string_split_regex(replace({held}, chr(2), ' '), '[\x01\n]'), lambda x: trim(x, ' ' || chr(9) || '-•*')), lambda x: x <> '') AS sentences FROM ({source})"
