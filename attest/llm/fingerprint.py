@@ -48,11 +48,14 @@ def gamma_table(spark: SparkSession) -> Column:
     return spark.range(1).select(F.split(F.lit(",".join(map(repr, numbers))), ",").cast("array<double>").alias("gamma")).scalar()
 
 
-def sorted_terms(text: Column) -> Column:
+def words(text: Column) -> Column:
+    return F.filter(F.split(text, _SPACES), lambda w: w != "")
+
+
+def sorted_terms(words: Column) -> Column:
     """Hashes of all pairs of neighbouring words, ascending; a lone word is a term itself."""
-    words = F.filter(F.split(text, _SPACES), lambda w: w != "")
-    firsts, seconds = F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(1))), F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(1)))
-    return F.sort_array(F.zip_with(firsts, seconds, lambda a, b: F.xxhash64(a, b)))
+    n = F.greatest(F.size(words) - 1, F.lit(1))
+    return F.sort_array(F.zip_with(F.slice(words, F.lit(1), n), F.slice(words, F.lit(2), n), lambda a, b: F.xxhash64(a, b)))
 
 
 def samples(h: Column, log_weight: Column, gamma: Column, draws: int = SAMPLES) -> list[Column]:
@@ -80,7 +83,8 @@ def signatures(rows: DataFrame, keys: list[str], text: str, draws: int = SAMPLES
     of zeros, which no other text has but by chance.
     """
     # the one-row generators keep Spark from evaluating an array again for each of its elements
-    held = rows.select(*keys, F.explode(F.array(F.struct(sorted_terms(F.col(text)).alias("h")))).alias("x"))
+    held = rows.select(*keys, F.explode(F.array(F.struct(words(F.col(text)).alias("w")))).alias("x"))
+    held = held.select(*keys, F.explode(F.array(F.struct(sorted_terms(F.col("x.w")).alias("h")))).alias("x"))
     ends = F.filter(F.sequence(F.lit(0), F.size("x.h") - 1), lambda i: (i == F.size("x.h") - 1) | (F.get("x.h", i) != F.get("x.h", i + 1)))
     held = held.select(*keys, F.explode(F.array(F.struct(F.col("x.h").alias("h"), F.when(F.size("x.h") > 0, ends).otherwise(F.array().cast("array<int>")).alias("ends")))).alias("x"))
     bag = F.transform("x.ends", lambda e, j: F.struct(F.get("x.h", e).alias("h"), (e - F.when(j == 0, F.lit(-1)).otherwise(F.get("x.ends", j - 1))).alias("n")))

@@ -189,8 +189,9 @@ def frequencies(sets: DataFrame) -> np.ndarray:
     def each(batches):
         total = np.zeros(SLOTS, np.int64)
         for batch in batches:
-            for x in batch.column(0):
-                total += np.bincount(_slot(np.frombuffer(x.as_buffer(), "<u8")), minlength=SLOTS)
+            for first in range(0, batch.num_rows, 1024):
+                held = b"".join(batch.column(0).slice(first, 1024).to_pylist())
+                total += np.bincount(_slot(np.frombuffer(held, "<u8")), minlength=SLOTS)
         at = np.flatnonzero(total)
         edge = np.searchsorted(at, np.arange(0, SLOTS + 1, SLOTS // 64))
         rows = [(i, at[x:y].astype("<u4").tobytes(), total[at[x:y]].astype("<u4").tobytes()) for i, (x, y) in enumerate(zip(edge[:-1], edge[1:], strict=True)) if y > x]

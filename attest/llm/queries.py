@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import chat, chroma, fingerprint, mixing, ngram_join, quality, spm, suffix_dedup, tokens
+from . import chat, chroma, fingerprint, mixing, ngram_join, quality, spm, substrings, suffix_dedup, tokens
 from .common import staged
 
 #: A conversation whose texts are control strings of the template.
@@ -65,6 +65,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc.doc_id", quality.held_out(F.col("doc.doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.passages(table(spark, sf_dir, "documents"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mixing.sampled_copies(table(spark, sf_dir, "documents"), WEIGHTS)
     return found.select("doc_id", "size", "source_size", "target", "taken")
@@ -127,6 +131,7 @@ def queries() -> dict:
         "op3_token_binary": op3_token_binary,
         "op4_suffix_dedup": op4_suffix_dedup,
         "op5_quality": op5_quality,
+        "op6_substring_dedup": op6_substring_dedup,
         "op7_mixing": op7_mixing,
         "op8_fingerprints": op8_fingerprints,
         "op9_sentencepiece": op9_sentencepiece,

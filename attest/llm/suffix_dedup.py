@@ -5,8 +5,9 @@ would move each byte LENGTH times, so suffixes that cannot have a twin are left
 
 1. Every window of LENGTH bytes has an anchor, its GRAM bytes of least hash, leftmost of equals.
    Equal windows have equal anchors at equal places. Neighbouring windows mostly share theirs, so
-   there is about one anchor for 85 bytes, with a range of windows.
-2. Anchors go, packed by range of hash, to tasks that compare them. A window whose anchor occurs
+   there is about one anchor for 85 bytes. Its windows, in three parts by their distance to it,
+   have cores in common that are two thirds of a window long.
+2. Cores go, packed by range of hash, to tasks that compare them. A window whose core occurs
    nowhere else has no twin. Anchors with equal bytes around them, as far as their windows
    reach, have windows that are all twins. What remains are the anchors at the edges of repeats.
 3. The windows of these anchors are the suffixes to sort. Their leading tokens are the first eight
@@ -78,7 +79,11 @@ def pieces(at: np.ndarray, length: int) -> list[tuple[np.ndarray, np.ndarray]]:
 
 
 def anchors(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """Anchors of all windows within rows of joined bytes: gram hash, context hash, first and last window."""
+    """Anchors of all windows within rows of joined bytes: core hash, context hash, first and last window.
+
+    The windows of an anchor come in up to three parts, by their distance to it; those of a part
+    share a core of about two thirds of their length, which stands for the anchor.
+    """
     none = np.zeros(0, np.uint64)
     if len(data) < length:
         return none, none, none.astype(np.int64), none.astype(np.int64)
@@ -98,14 +103,18 @@ def anchors(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: int
     np.add.at(across, np.maximum(ends[1:] - length + 1, ends[:-1]), 1)
     np.add.at(across, ends[1:], -1)
     valid = np.cumsum(across[:-1])[:n] == 0
+    third = -(-wide // 3)
+    part = place * 4 + (place - np.arange(n)) // third
     begins = valid.copy()
-    begins[1:] &= ~valid[:-1] | (place[1:] != place[:-1])
+    begins[1:] &= ~valid[:-1] | (part[1:] != part[:-1])
     stops = valid.copy()
-    stops[:-1] &= ~valid[1:] | (place[1:] != place[:-1])
+    stops[:-1] &= ~valid[1:] | (part[1:] != part[:-1])
     low, high = np.flatnonzero(begins), np.flatnonzero(stops)
-    p = place[low]
+    p, j = place[low], part[low] % 4
+    core = p - third * j
+    same = mix(_hash(total, core, core + length - third + 1) ^ j.astype(np.uint64))
     context = mix(_hash(total, low, high + length) ^ ((p - low) << 16 | (high - low)).astype(np.uint64))
-    return grams[p], context, low, high
+    return same, context, low, high
 
 
 def _packets(buckets: int, length: int):
@@ -130,25 +139,30 @@ def _packets(buckets: int, length: int):
             new_gram[1:] = gram[1:] != gram[:-1]
             new = new_gram.copy()
             new[1:] |= context[1:] != context[:-1]
-            cls = np.cumsum(new) - 1
             first = np.flatnonzero(new)
             many = np.diff(np.append(first, len(gram))) > 1 if len(first) else np.zeros(0, bool)
             of_gram = np.cumsum(new_gram[first]) - 1 if len(first) else np.zeros(0, np.int64)
             hot = (np.bincount(of_gram) > CONTEXTS)[of_gram] if len(first) else np.zeros(0, bool)
+            # classes that are sent come first in number, so that their places need not be sent
+            number = np.empty(len(first), np.int64)
+            number[np.argsort(hot, kind="stable")] = np.arange(len(first))
             table = np.zeros(len(gram), _ANCHOR)
-            table["doc"], table["low"], table["span"], table["cls"] = doc, low, span, cls
+            table["doc"], table["low"], table["span"] = doc, low, span
             if len(first):
-                table["flag"] = np.where(many[cls], _TWIN, 0)
+                of_class = np.cumsum(new) - 1
+                table["cls"] = number[of_class]
+                table["flag"] = np.where(many[of_class], _TWIN, 0)
                 table["flag"][first[hot]] |= _EDGE
             rows.append((_DOCS, -1 - packet, packet, np.concatenate([k[0] for k in keys]).tobytes(), np.concatenate([k[1] for k in keys]).tobytes(), table.tobytes(), None))
             sent = ~hot
             entry = first[sent]
-            for kind, g, parts in ((_CLASS, gram[entry], (context[entry], np.flatnonzero(sent).astype("<u4"), many[sent].astype(np.uint8))), (_COMMON, gram[first[hot & new_gram[first]]], None)):
+            for kind, g, parts in ((_CLASS, gram[entry], (context[entry], many[sent])), (_COMMON, gram[first[hot & new_gram[first]]], None)):
                 bucket = (g // width).astype(np.int64)
                 edge = np.flatnonzero(np.diff(bucket)) + 1
                 for a, b in zip(np.concatenate([[0], edge]), np.concatenate([edge, [len(g)]]), strict=True):
                     if b > a:
-                        rows.append((kind, int(bucket[a]), packet, pack_sorted(g[a:b]), *([x[a:b].tobytes() for x in parts] if parts else [None] * 3)))
+                        rest = [parts[0][a:b].tobytes(), np.array([a], "<u4").tobytes(), np.packbits(parts[1][a:b]).tobytes()] if parts else [None] * 3
+                        rows.append((kind, int(bucket[a]), packet, pack_sorted(g[a:b]), *rest))
             keys, held, size, docs = [], [], 0, 0
             return rows
 
@@ -183,8 +197,8 @@ def _compared(table: pa.Table) -> pa.Table:
     size = [len(g) for g in grams]
     gram = np.concatenate(grams)
     context = np.concatenate([np.frombuffer(x, "<u8") if x is not None else np.zeros(n, np.uint64) for x, n in zip(b, size, strict=True)])
-    cls = np.concatenate([np.frombuffer(x, "<u4") if x is not None else np.zeros(n, np.uint32) for x, n in zip(c, size, strict=True)])
-    many = np.concatenate([np.frombuffer(x, np.uint8) if x is not None else np.zeros(n, np.uint8) for x, n in zip(d, size, strict=True)]).astype(bool)
+    cls = np.concatenate([np.arange(n) + (np.frombuffer(x, "<u4")[0] if x is not None else 0) for x, n in zip(c, size, strict=True)])
+    many = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=n) if x is not None else np.zeros(n, np.uint8) for x, n in zip(d, size, strict=True)]).astype(bool)
     common = np.repeat(np.array(kind) == _COMMON, size)
     of = np.repeat(np.arange(len(kind)), size)
     order = np.lexsort((of, context, common, gram))
@@ -232,6 +246,7 @@ def _marked(length: int):
             else:
                 flags.append((np.frombuffer(a, "<u4"), np.frombuffer(b, np.uint8)))
         if len(anchor):
+            anchor = anchor[np.argsort(anchor["cls"], kind="stable")]
             by_class = np.zeros(int(anchor["cls"].max()) + 1, np.uint8)
             for cls, flag in flags:
                 by_class[cls] |= flag
@@ -314,7 +329,7 @@ def _windows(splitters: tuple[np.ndarray, np.ndarray], length: int):
             edge.append(len(l))
             for i, (a, b) in enumerate(zip(edge[:-1], edge[1:], strict=True)):
                 if b > a:
-                    rows.append((_CLASS, i, packet, l[a:b].tobytes(), t[a:b].tobytes(), np.arange(a, b).astype("<u4").tobytes(), None))
+                    rows.append((_CLASS, i, packet, pack_sorted(l[a:b]), t[a:b].tobytes(), np.array([a], "<u4").tobytes(), None))
             held, size = [], 0
             return rows
 
@@ -366,9 +381,9 @@ def _sorted_suffixes(table: pa.Table) -> pa.Table:
     if kind[0] == _DOCS:
         return table
     packet, a, b, c = (table.column(x).to_pylist() for x in ("packet", "a", "b", "c"))
-    lead, tail = (np.concatenate([np.frombuffer(x, "<u8") for x in y]) for y in (a, b))
-    of = np.repeat(np.arange(len(kind)), [len(x) // 8 for x in a])
-    cls = np.concatenate([np.frombuffer(x, "<u4") for x in c])
+    lead, tail = np.concatenate([unpack_sorted(x) for x in a]), np.concatenate([np.frombuffer(x, "<u8") for x in b])
+    of = np.repeat(np.arange(len(kind)), [len(x) // 8 for x in b])
+    cls = np.concatenate([np.frombuffer(x, "<u4")[0] + np.arange(len(y) // 8) for x, y in zip(c, b, strict=True)])
     order = multikey_quicksort([lead, tail])
     same = np.zeros(len(order) + 1, bool)
     same[1:-1] = (lead[order][1:] == lead[order][:-1]) & (tail[order][1:] == tail[order][:-1])
@@ -379,7 +394,7 @@ def _sorted_suffixes(table: pa.Table) -> pa.Table:
     for i, (low, high) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
         at = low + np.flatnonzero(twin[low:high])
         if len(at):
-            rows.append((_FLAG, -1 - packet[i], packet[i], cls[at].tobytes(), np.full(len(at), _TWIN, np.uint8).tobytes(), None, None))
+            rows.append((_FLAG, -1 - packet[i], packet[i], cls[at].astype("<u4").tobytes(), np.full(len(at), _TWIN, np.uint8).tobytes(), None, None))
     return pa.Table.from_batches([_rows(rows)])
 
 

@@ -151,8 +151,9 @@ def ranked(ids: DataFrame, vocabulary: int, dtype: str) -> np.ndarray:
     def each(batches):
         total = np.zeros(vocabulary, np.int64)
         for batch in batches:
-            for x in batch.column(0):
-                total += np.bincount(np.frombuffer(x.as_buffer(), dtype), minlength=vocabulary)
+            for first in range(0, batch.num_rows, 1024):
+                held = b"".join(batch.column(0).slice(first, 1024).to_pylist())
+                total += np.bincount(np.frombuffer(held, dtype), minlength=vocabulary)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["id", "n"])
 
