@@ -48,8 +48,10 @@ def _folds() -> tuple[str, str, tuple[tuple[str, str], ...], str]:
 def normalize(text: Column) -> Column:
     """Lower case without accents, white space as single blanks; null gives the empty string."""
     single, folded, longer, marks = _folds()
+    marks = f"[\\p{{M}}&&{marks}]"
     out = F.translate(F.coalesce(text, F.lit("")), single, folded)
-    several = "[" + "".join(c for c, _ in longer) + "]"
+    # classes begin with a quick test, as Java asks the members of a long one one after another
+    several = "[[^\\x00-\\x7f]&&[" + "".join(c for c, _ in longer) + "]]"
     # a map written as a string stays one literal in every plan
     table = F.str_to_map(F.lit("\x02".join(f"{c}\x01{p}" for c, p in longer)), F.lit("\x02"), F.lit("\x01"))
     many = F.array_join(F.transform(F.split(out, ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
@@ -74,8 +76,7 @@ def tokenize(text: Column, drop_stopwords: bool = True, stemming: bool = True) -
     """Normalised words, in order, duplicates kept; stopwords go before stemming."""
     out = words(text)
     if drop_stopwords:
-        stop = "^(" + "|".join(sorted(set(STOPWORDS))) + ")$"
-        out = F.filter(out, lambda t: ~t.rlike(stop))
+        out = F.filter(out, lambda t: ~t.isin(*sorted(set(STOPWORDS))))
     return F.transform(out, stem) if stemming else out
 
 
