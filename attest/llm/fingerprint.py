@@ -52,10 +52,13 @@ def words(text: Column) -> Column:
     return F.filter(F.split(text, _SPACES), lambda w: w != "")
 
 
-def sorted_terms(words: Column) -> Column:
-    """Hashes of all pairs of neighbouring words, ascending; a lone word is a term itself."""
+def terms(words: Column, version: int) -> Column:
+    """Hashes of all pairs of neighbouring words, with the version in their last bit.
+
+    A lone word is a term itself.
+    """
     n = F.greatest(F.size(words) - 1, F.lit(1))
-    return F.sort_array(F.zip_with(F.slice(words, F.lit(1), n), F.slice(words, F.lit(2), n), lambda a, b: F.xxhash64(a, b)))
+    return F.zip_with(F.slice(words, F.lit(1), n), F.slice(words, F.lit(2), n), lambda a, b: F.xxhash64(a, b).bitwiseAND(F.lit(-2)).bitwiseOR(F.lit(version)))
 
 
 def samples(h: Column, log_weight: Column, gamma: Column, draws: int = SAMPLES) -> list[Column]:
@@ -66,32 +69,40 @@ def samples(h: Column, log_weight: Column, gamma: Column, draws: int = SAMPLES)
         i = x.bitwiseAND(F.lit(QUANTILES - 1)).cast("int")
         j = F.shiftright(x, 12).bitwiseAND(F.lit(QUANTILES - 1)).cast("int")
         b = F.shiftrightunsigned(x, 24).cast("double") * F.lit(2.0**-40)
-        t = F.floor(log_weight * F.get(gamma, i + F.lit(QUANTILES)) + b)
+        t = (log_weight * F.get(gamma, i + F.lit(QUANTILES)) + b).cast("long")
         level = F.get(gamma, j + F.lit(2 * QUANTILES)) - F.get(gamma, i) * (t.cast("double") - b + F.lit(1.0))
         # levels lie between -64 and 64; 26 bits of their fraction are kept
         high = F.shiftleft(((level + F.lit(64.0)) * F.lit(2.0**26)).cast("long"), 29)
-        out.append(high.bitwiseOR(F.shiftrightunsigned(F.xxhash64(x, t), 35)))
+        # t is below 2^12, so the product fits; it moves all of the 29 bits that name the sample
+        name = x.bitwiseXOR(t * F.lit(0x9E3779B1)).bitwiseAND(F.lit((1 << 29) - 1))
+        out.append(high.bitwiseOR(name))
     return out
 
 
-def signatures(rows: DataFrame, keys: list[str], text: str, draws: int = SAMPLES) -> DataFrame:
-    """keys and signature, an array of 16-bit samples, of each row's text.
+def signatures(rows: DataFrame, keys: list[str], texts: list[str], draws: int = SAMPLES) -> DataFrame:
+    """keys, and for each of one or two texts of a row its signature: an array of 16-bit samples.
 
     rows must be partitioned by (a subset of) keys, or a shuffle puts them so; keys tell rows
-    apart. The bag of a text is made within its row, so that no term is shuffled: terms are
-    sorted, and the places where runs end give their counts. Texts without words have a signature
-    of zeros, which no other text has but by chance.
+    apart. The bags are made within a row, so that no term is shuffled: terms are sorted, and the
+    places where runs end give their counts. Terms that both texts have equally often are drawn
+    for once. Texts without words have a signature of zeros, which others have but by chance.
     """
+    one = lambda frame, **columns: frame.select(*keys, F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))).alias("x"))
     # the one-row generators keep Spark from evaluating an array again for each of its elements
-    held = rows.select(*keys, F.explode(F.array(F.struct(words(F.col(text)).alias("w")))).alias("x"))
-    held = held.select(*keys, F.explode(F.array(F.struct(sorted_terms(F.col("x.w")).alias("h")))).alias("x"))
+    held = one(rows, **{f"w{v}": words(F.col(t)) for v, t in enumerate(texts)})
+    held = one(held, h=F.sort_array(F.concat(*[terms(F.col(f"x.w{v}"), v) for v in range(len(texts))])))
     ends = F.filter(F.sequence(F.lit(0), F.size("x.h") - 1), lambda i: (i == F.size("x.h") - 1) | (F.get("x.h", i) != F.get("x.h", i + 1)))
-    held = held.select(*keys, F.explode(F.array(F.struct(F.col("x.h").alias("h"), F.when(F.size("x.h") > 0, ends).otherwise(F.array().cast("array<int>")).alias("ends")))).alias("x"))
-    bag = F.transform("x.ends", lambda e, j: F.struct(F.get("x.h", e).alias("h"), (e - F.when(j == 0, F.lit(-1)).otherwise(F.get("x.ends", j - 1))).alias("n")))
-    held = held.select(*keys, F.explode_outer(bag).alias("x")).select(*keys, F.col("x.h").alias("h"), F.ln(F.col("x.n").cast("double")).alias("log_weight"), gamma_table(rows.sparkSession).alias("gamma"))
-    least = held.groupBy(*keys).agg(*[F.min(c).alias(f"s{d}") for d, c in enumerate(samples(F.col("h"), F.col("log_weight"), F.col("gamma"), draws))])
-    sample = lambda d: F.coalesce(F.col(f"s{d}").bitwiseAND(F.lit(0xFFFF)), F.lit(0)).cast("int")
-    return least.select(*keys, F.array(*[sample(d) for d in range(draws)]).alias("signature"))
+    held = one(held, h=F.col("x.h"), ends=F.when(F.size("x.h") > 0, ends).otherwise(F.array().cast("array<int>")))
+    held = one(held, bag=F.transform("x.ends", lambda e, j: F.struct(F.get("x.h", e).alias("h"), (e - F.when(j == 0, F.lit(-1)).otherwise(F.get("x.ends", j - 1))).alias("n"))))
+    same = lambda e, o: F.coalesce((o["h"].bitwiseXOR(e["h"]) == 1) & (o["n"] == e["n"]), F.lit(False))
+    mark = lambda e, i: F.when(same(e, F.get("x.bag", i + 1)) & (e["h"].bitwiseAND(F.lit(1)) == 0), 3).when(same(e, F.get("x.bag", i - 1)) & (e["h"].bitwiseAND(F.lit(1)) == 1), 0).otherwise(e["h"].bitwiseAND(F.lit(1)).cast("int") + 1)
+    bag = F.filter(F.transform("x.bag", lambda e, i: F.struct(F.shiftright(e["h"], 1).alias("h"), e["n"].alias("n"), mark(e, i).alias("of"))), lambda e: e["of"] > 0)
+    held = held.select(*keys, F.explode_outer(bag).alias("x")).select(*keys, F.col("x.of").alias("of"), F.col("x.h").alias("h"), F.ln(F.col("x.n").cast("double")).alias("log_weight"), gamma_table(rows.sparkSession).alias("gamma"))
+    least = held.groupBy(*keys, "of").agg(*[F.min(c).alias(f"s{d}") for d, c in enumerate(samples(F.col("h"), F.col("log_weight"), F.col("gamma"), draws))])
+    names = [(v, d, f"s{v}_{d}") for v in range(len(texts)) for d in range(draws)]
+    least = least.groupBy(*keys).agg(*[F.min(F.when(F.col("of") != 2 - v, F.col(f"s{d}"))).alias(n) for v, d, n in names])
+    sample = lambda n: F.coalesce(F.col(n).bitwiseAND(F.lit(0xFFFF)), F.lit(0)).cast("int")
+    return least.select(*keys, *[F.array(*[sample(n) for w, _, n in names if w == v]).alias(f"signature{v}") for v in range(len(texts))])
 
 
 def as_text(signature: Column) -> Column:
@@ -142,13 +153,9 @@ def edited_likeness(docs: DataFrame, draws: int = SAMPLES) -> DataFrame:
     keep = F.col("n_chars") - F.floor(F.col("n_chars") / 3)
     both = both.withColumn("edited", F.concat(F.substring("text", F.lit(1), keep.cast("int")), F.col("head")))
     about = ["k", "kh", "doc_id", "n_chars", "rows", "next_k", "next_kh"]
-    sha = F.sha2(F.col("edited"), 256)
-    both = both.select(*about, sha.alias("edited_sha256"), F.explode(F.array(F.struct(F.lit(0).alias("version"), F.col("text").alias("text")), F.struct(F.lit(1).alias("version"), F.col("edited").alias("text")))).alias("v"))
-    both = both.select(*about, "edited_sha256", F.col("v.version").alias("version"), F.col("v.text").alias("text"))
-    found = staged(signatures(both, [*about, "edited_sha256", "version"], "text", draws), "signatures")
-    first = found.where("version = 0").drop("version", "edited_sha256")
-    second = found.where("version = 1").select("k", "kh", "edited_sha256", F.col("signature").alias("edited"))
-    after = found.where("version = 0").select(F.col("k").alias("next_k"), F.col("kh").alias("next_kh"), F.col("signature").alias("following"))
-    out = first.join(second, ["k", "kh"]).join(after, ["next_k", "next_kh"])
-    out = out.select("doc_id", "n_chars", "edited_sha256", as_text(F.col("signature")).alias("fingerprint"), as_text(F.col("edited")).alias("edited_fingerprint"), likeness(F.col("signature"), F.col("edited")).alias("near_edited"), likeness(F.col("signature"), F.col("following")).alias("near_next"), "rows")
+    both = both.select(*about, F.sha2(F.col("edited"), 256).alias("edited_sha256"), "text", "edited")
+    found = staged(signatures(both, [*about, "edited_sha256"], ["text", "edited"], draws), "signatures")
+    after = found.select(F.col("k").alias("next_k"), F.col("kh").alias("next_kh"), F.col("signature0").alias("following"))
+    out = found.join(after, ["next_k", "next_kh"])
+    out = out.select("doc_id", "n_chars", "edited_sha256", as_text(F.col("signature0")).alias("fingerprint"), as_text(F.col("signature1")).alias("edited_fingerprint"), likeness(F.col("signature0"), F.col("signature1")).alias("near_edited"), likeness(F.col("signature0"), F.col("following")).alias("near_next"), "rows")
     return out.withColumn("again", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int")))).drop("rows", "again")

@@ -246,7 +246,7 @@ def test_fingerprints_estimate_similarity(spark):
         x, y = Counter(zip(a, a[1:], strict=False)), Counter(zip(b, b[1:], strict=False))
         want.append(sum((x & y).values()) / sum((x | y).values()))
         rows += [(2 * i, " ".join(a)), (2 * i + 1, " ".join(b))]
-    got = {r["k"]: np.array(r["signature"]) for r in fingerprint.signatures(spark.createDataFrame(rows, "k long, text string"), ["k"], "text", 64).collect()}
+    got = {r["k"]: np.array(r["signature0"]) for r in fingerprint.signatures(spark.createDataFrame(rows, "k long, text string"), ["k"], ["text"], 64).collect()}
     near = [(got[2 * i] == got[2 * i + 1]).mean() for i in range(30)]
     assert abs(np.mean(near) - np.mean(want)) < 0.04
 
