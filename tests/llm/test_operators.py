@@ -182,6 +182,26 @@ def test_substrings(docs, empty):
     assert rows[9]["class_id"] == 8 and substrings.passages(empty).count() == 0
 
 
+def test_stretches_that_adjoin_and_lie_apart_in_the_other_text():
+    rng, t = np.random.default_rng(4), Fraction("0.8")
+    some = lambda n: rng.integers(0, 1 << 63, n).astype(np.uint64)
+    for n, m in ((50, 50), (50, 70), (46, 300), (60, 46)):
+        for apart in (30, 81, 200, 1000):
+            p, q = some(n), some(m)
+            y = np.concatenate([some(7), p, some(apart), q, some(5)])
+            for x in (np.concatenate([p, q]), np.concatenate([q, p])):
+                got = sorted(substrings.alike(x, y, 46, t))
+                marked = np.zeros(len(x), bool)
+                for a, b, _, _ in got:
+                    marked[a:b] = True
+                assert marked.all(), (n, m, apart, got)
+    # places that all lie far from their median, and tokens that come again
+    x = some(46)
+    assert substrings.alike(x, np.concatenate([x[:23], some(500), x[23:]]), 46, t) == []
+    y = np.concatenate([x[:40:2], some(300), x])
+    assert substrings.alike(x, y, 46, t) == [(0, 46, 320, 366)]
+
+
 def test_compact_windows():
     rng = np.random.default_rng(0)
     for _ in range(60):
