@@ -182,6 +182,32 @@ def test_substrings(docs, empty):
     assert rows[9]["class_id"] == 8 and substrings.passages(empty).count() == 0
 
 
+def some_words(rng, n):
+    return [f"w{rng.randrange(10**6):06}" for _ in range(n)]
+
+
+def placed(spark, rng, passages):
+    """Documents with the passages in unlike surroundings, by the place of each."""
+    rows = [(i, " ".join(some_words(rng, 55) + p + some_words(rng, 55))) for i, p in enumerate(passages)]
+    return spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+
+
+def test_exact_passages_among_edited_and_truncated_copies(spark):
+    rng, passages, want = random.Random(6), [], set()
+    for n in range(80):
+        p = some_words(rng, 50)
+        want |= {len(passages), len(passages) + 1}
+        passages += [p, p]
+        for z in range(1 + n % 4):
+            q = list(p)
+            q[8 + z], q[30 + z] = some_words(rng, 2)
+            passages.append(q if (n + z) % 2 else p[2 + z :])
+    got = {r["doc_id"]: r for r in substrings.passages(placed(spark, rng, passages)).collect()}
+    assert {d for d, r in got.items() if r["n_passages"]} == want
+    assert all(got[d]["n_tokens"] == 46 and got[d]["class_id"] in (d, d - 1) for d in want)
+    assert all(got[d]["class_id"] == got[d + 1]["class_id"] for d in want if d + 1 in want and passages[d] == passages[d + 1])
+
+
 def test_stretches_that_adjoin_and_lie_apart_in_the_other_text():
     rng, t = np.random.default_rng(4), Fraction("0.8")
     some = lambda n: rng.integers(0, 1 << 63, n).astype(np.uint64)
