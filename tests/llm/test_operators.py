@@ -208,6 +208,17 @@ def test_exact_passages_among_edited_and_truncated_copies(spark):
     assert all(got[d]["class_id"] == got[d + 1]["class_id"] for d in want if d + 1 in want and passages[d] == passages[d + 1])
 
 
+def test_recall_of_near_passages_at_the_threshold(spark):
+    rng, passages = random.Random(8), []
+    for _ in range(1000):
+        p = some_words(rng, 50)
+        q = list(p)
+        q[rng.randrange(5, 45)] = some_words(rng, 1)[0]
+        passages += [p, q]  # 41 of 51 shingles in common
+    rows = substrings.passages(placed(spark, rng, passages)).collect()
+    assert sum(r["n_passages"] > 0 and r["class_id"] == r["doc_id"] // 2 * 2 for r in rows) >= 0.99 * len(rows)
+
+
 def test_stretches_that_adjoin_and_lie_apart_in_the_other_text():
     rng, t = np.random.default_rng(4), Fraction("0.8")
     some = lambda n: rng.integers(0, 1 << 63, n).astype(np.uint64)
