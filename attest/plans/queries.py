@@ -159,10 +159,9 @@ def claim_support(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _suite(spark: SparkSession, sf_dir: str) -> tuple[Gate, DataFrame]:
-    """Probes from the documents that have figures, against a gate of these documents."""
-    docs = documents(spark, sf_dir).where(F.col("text").rlike("[0-9]"))
-    gate = Gate.from_documents(docs)
-    return gate, probes.generate_probes(gate.chunks, 1)
+    """Probes from all documents, against the gate of all documents."""
+    gate = _gate(spark, sf_dir)
+    return gate, probes.generate_probes(gate.chunks)
 
 
 def probe_suite(spark: SparkSession, sf_dir: str) -> DataFrame:
