@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attest.llm import mixing, ngram_join, quality, spm, suffix_dedup
-from attest.llm.common import new_path
+from attest.llm.common import new_path, staged
 from attest.llm.queries import WEIGHTS, table, vocabulary
 
 
@@ -22,13 +22,17 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group that 5-word shingle similarity of 0.8 or more connects.
+    """The first row of each group that 5-word shingle similarity of 0.8 or more connects.
 
-    Documents without words are in no group and stay. Of repeated rows of one doc_id, one stays.
+    First is the least doc_id, nulls last, then the least hash of the text. Rows without words are
+    in no group and stay; of those that repeat a doc_id and its text, one stays.
     """
-    found = ngram_join.near_components(docs, 5, "0.8").where("doc_id = component_id or doc_id is null").select(F.col("doc_id").alias("kept")).distinct()
-    row = docs.select(F.struct(*docs.columns).alias("doc"), F.col("doc_id").cast("long").alias("id"))
-    return row.join(found, F.col("id").eqNullSafe(F.col("kept")), "left_semi").select("doc.*")
+    rows = staged(docs.select(F.struct(*docs.columns).alias("doc"), F.monotonically_increasing_id().alias("row")), "rows")
+    found = ngram_join.near_components(rows.select(F.col("row").alias("doc_id"), "doc.text"), 5, "0.8").where("n_shingles > 0").select(F.col("doc_id").alias("of"), "component_id")
+    named = rows.select("row", F.col("doc.doc_id").cast("long").alias("id"), F.xxhash64(F.isnull("doc.text"), "doc.text").alias("hash")).join(found, F.col("row") == F.col("of"), "left")
+    alone = F.when(F.col("component_id").isNull(), F.struct(F.isnull("id").alias("none"), F.coalesce("id", "row").alias("id"), "hash"))
+    kept = named.groupBy("component_id", alone.alias("alone")).agg(F.min(F.struct(F.isnull("id").alias("none"), "id", "hash", "row")).alias("first"))
+    return rows.join(kept.select("first.row"), "row", "left_semi").select("doc.*")
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
