@@ -2,8 +2,7 @@
 
 A recording's spectrum is folded to twelve pitch classes per frame. Rectangular filters over the
 frames' integral image give two bits each; sixteen filters make one 32-bit integer a frame.
-Recordings that share integers are aligned by the most frequent difference of places, and
-compared there by their share of unequal bits.
+Recordings are compared by their share of unequal bits at every difference of places, in blocks.
 """
 
 import io
@@ -11,10 +10,10 @@ import wave
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, staged
+from .common import partitions, ship, staged
 
 RATE = 11025
 FRAME = 4096
@@ -178,35 +177,79 @@ def classes(prints: DataFrame, key: str) -> DataFrame:
     return own.join(least, "digest", "left").select(key, "prints", F.coalesce("class_id", key).alias("class_id"))
 
 
+#: Recordings, and queries, that one task compares at a time.
+BLOCK = 1024
+_FOUND = "query_id long, match_id long, offset int, votes long, bit_error_rate double"
+
+
+def _blocks(prints: DataFrame, key: str, name: str) -> DataFrame:
+    """Rows of up to BLOCK recordings: keys, lengths and prints end to end."""
+
+    def each(batches):
+        for batch in batches:
+            for first in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(first, BLOCK)
+                held = [np.asarray(v, np.uint32) for v in part.column(1).to_pylist()]
+                row = (part.column(0).to_numpy().astype("<i8").tobytes(), np.array([len(v) for v in held], "<i8").tobytes(), np.concatenate(held).astype("<u4").tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in row], [f"{name}_keys", f"{name}_sizes", f"{name}_prints"])
+
+    return prints.select(F.col(key).cast("long"), "prints").mapInArrow(each, f"{name}_keys binary, {name}_sizes binary, {name}_prints binary")
+
+
+def best_offsets(query: np.ndarray, others: np.ndarray, least: int, most_errors: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Best offset, votes there and share of unequal bits there (2 without any) of recordings of one length, a row each."""
+    m, (rows, n) = len(query), others.shape
+    offset, votes, errors = np.zeros(rows, np.int64), np.full(rows, -1), np.full(rows, 2.0)
+    for o in range(least - n, m - least + 1):
+        low, high = max(0, o), min(m, n + o)
+        apart = others[:, low - o : high - o] ^ query[low:high]
+        wrong = np.bitwise_count(apart).sum(1, dtype=np.int64) / (32 * (high - low))
+        good = wrong <= most_errors
+        if not good.any():
+            continue
+        same = (apart == 0).sum(1)
+        good &= (same >= least) | (2 * (high - low) >= min(m, n))
+        good &= (same > votes) | ((same == votes) & (wrong < errors))
+        offset[good], votes[good], errors[good] = o, same[good], wrong[good]
+    return offset, votes, errors
+
+
 def aligned(prints: DataFrame, key: str, every: int = 50, least_votes: int = 4, most_errors: float = 0.25) -> DataFrame:
     """Recordings that align with queries, as pairs of classes.
 
     Recordings with equal prints are one class, whose least key stands for it. Queries are the
     classes that hold a recording whose key is divisible by `every`; they are held against all
-    classes. A pair of classes that shares integers votes for the difference of their places; the
-    best-voted difference (ties: the smallest) is compared bit by bit, and the pair stays if it has
-    `least_votes` votes and at most `most_errors` unequal bits.
+    classes, at every difference of places that leaves `least_votes` places or more to compare. A
+    pair stays if at most `most_errors` of its bits are unequal at a difference where at least
+    `least_votes` integers are equal or half of the shorter recording is compared; of several
+    differences that with the most equal integers (votes), then the least errors, then the smallest.
 
-    Each recording names each distinct integer with its first place only, which bounds votes by
-    its length. An integer that very many classes hold makes a row for each query and class that
-    hold it, as does any search.
+    Nothing is left out by an index, as bits with so many errors leave few integers, or bytes,
+    equal: the work is queries times recordings times the product of their lengths.
 
     Returns query_id, match_id, offset, votes, bit_error_rate.
     """
     held = staged(prints, "prints")
     reps = held.where((F.col(key) == F.col("class_id")) & (F.size("prints") > 0)).dropDuplicates([key])
     asked = held.where(F.pmod(F.col(key), F.lit(every)) == 0).select(F.col("class_id").alias("query_id")).distinct()
-    entries = reps.select(key, F.posexplode("prints").alias("at", "print")).groupBy(key, "print").agg(F.min("at").alias("at"))
-    entries = staged(entries, "entries")
-    queries = entries.join(asked, F.col(key) == F.col("query_id")).select("query_id", "print", F.col("at").alias("query_at"))
-    votes = queries.join(entries, "print").where(F.col(key) != F.col("query_id")).groupBy("query_id", F.col(key).alias("match_id"), (F.col("query_at") - F.col("at")).alias("offset")).agg(F.count("*").alias("votes"))
-    best = Window.partitionBy("query_id", "match_id").orderBy(F.desc("votes"), "offset")
-    best_of = votes.where(F.col("votes") >= least_votes).withColumn("n", F.row_number().over(best)).where("n = 1").drop("n")
-    a = reps.select(F.col(key).alias("query_id"), F.col("prints").alias("a"))
-    b = reps.select(F.col(key).alias("match_id"), F.col("prints").alias("b"))
-    low = F.greatest(F.lit(0), F.col("offset"))
-    n = F.least(F.size("a"), F.size("b") + F.col("offset")) - low
-    unequal = F.aggregate(F.zip_with(F.slice("a", low + 1, n), F.slice("b", low - F.col("offset") + 1, n), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    return best_of.join(a, "query_id").join(b, "match_id").select("query_id", "match_id", "offset", "votes", (unequal / (32 * n)).alias("bit_error_rate")).where(F.col("bit_error_rate") <= most_errors)
+    queries = reps.join(asked, F.col(key) == F.col("query_id"), "left_semi")
 
+    def unpacked(batch, first: int, i: int):
+        keys, sizes, every = (np.frombuffer(batch.column(first + c)[i].as_buffer(), kind) for c, kind in enumerate(("<i8", "<i8", "<u4")))
+        return keys, sizes, np.concatenate([[0], np.cumsum(sizes)]), every
 
+    def each(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                keys, sizes, ends, whole = unpacked(batch, 0, i)
+                others, lengths, starts, parts = unpacked(batch, 3, i)
+                alike = [(own := np.flatnonzero(lengths == n), parts[starts[own][:, None] + np.arange(n)]) for n in np.unique(lengths)]
+                for q, a, b in zip(keys, ends[:-1], ends[1:], strict=True):
+                    for own, matrix in alike:
+                        offset, votes, errors = best_offsets(whole[a:b], matrix, least_votes, most_errors)
+                        good = (errors <= most_errors) & (others[own] != q)
+                        if good.any():
+                            yield pa.RecordBatch.from_arrays([pa.array(np.full(int(good.sum()), q)), pa.array(others[own][good]), pa.array(offset[good].astype(np.int32)), pa.array(votes[good].astype(np.int64)), pa.array(errors[good])], ["query_id", "match_id", "offset", "votes", "bit_error_rate"])
+
+    pairs = staged(_blocks(queries, key, "query"), "queries").crossJoin(staged(_blocks(reps, key, "other"), "others"))
+    return pairs.repartition(partitions(held.sparkSession)).mapInArrow(each, _FOUND)

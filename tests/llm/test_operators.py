@@ -342,3 +342,30 @@ def test_chroma(spark):
     assert [(r["query_id"], r["match_id"], r["offset"]) for r in found] == [(50, 51, 0)]
     broken = spark.createDataFrame([(1, b"no audio"), (2, None)], "id long, audio binary")
     assert all(r["prints"] == [] for r in chroma.fingerprints(broken, "id", "audio").collect())
+
+
+def test_chroma_finds_all_that_a_plain_search_finds(spark):
+    rng = np.random.default_rng(7)
+    rows, noisy = [], lambda x, share: x ^ np.packbits(rng.random((len(x), 32)) < share, axis=1).view(np.uint32)[:, 0]
+    for i in range(12):
+        x = rng.integers(0, 1 << 32, 34).astype(np.uint32)
+        rows.append((50 * i, x))
+        rows += [(50 * i + 1 + j, noisy(x, share)[j % 3 :]) for j, share in enumerate((0.02, 0.05, 0.1, 0.15, 0.2, 0.3))]
+    # a sustained tone and its longer near copy; a motif that comes again
+    rows += [(2000, np.full(30, 7, np.uint32)), (2001, np.full(40, 3, np.uint32)), (2050, np.tile(rows[0][1][:5], 4)), (2051, np.tile(noisy(rows[0][1][:5], 0.1), 6))]
+    want = set()
+    for a, x in rows:
+        for b, y in rows:
+            for o in range(4 - len(y), len(x) - 3) if a % 50 == 0 and a != b else ():
+                wrong, n = chroma.bit_errors(x, y, o)
+                low, high = max(0, o), min(len(x), len(y) + o)
+                if wrong <= 0.25 * 32 * n and ((x[low:high] == y[low - o : high - o]).sum() >= 4 or 2 * n >= min(len(x), len(y))):
+                    want.add((a, b))
+    prints = spark.createDataFrame([(i, [int(v) for v in x]) for i, x in rows], "id long, prints array<long>")
+    got = chroma.aligned(chroma.classes(prints, "id"), "id").collect()
+    assert {(r["query_id"], r["match_id"]) for r in got} == want and len(got) == len(want) > 50
+    assert {(2000, 2001), (2050, 2051)} <= want
+    by_id = dict(rows)
+    for r in got:
+        wrong, n = chroma.bit_errors(by_id[r["query_id"]], by_id[r["match_id"]], r["offset"])
+        assert r["bit_error_rate"] == wrong / (32 * n)
