@@ -9,9 +9,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attest.ship import ship
+from attest.ship import ship as shipped
 
 _OWN_DIR: dict[str, str] = {}
+#: Rows of an Arrow batch, where the session has Spark's default: documents are long, and a batch is held twice.
+BATCH_ROWS = "1024"
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends the package to the executors, and bounds the batches that their Python workers get."""
+    shipped(spark)
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -66,11 +75,14 @@ def keyed(docs: DataFrame) -> DataFrame:
 def released(spark: SparkSession) -> None:
     """Lets Spark delete shuffle files that no plan can read any more.
 
-    It does so when the driver's collector finds the plans gone, which may otherwise be late.
+    It does so when the driver's collector finds the plans gone, which may otherwise be late. The
+    thread that tells the JVM which objects Python has dropped looks once a second.
     """
     import gc
+    import time
 
     gc.collect()
+    time.sleep(1.2)
     spark.sparkContext._jvm.System.gc()
 
 

@@ -48,11 +48,12 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def pack_sorted(h: np.ndarray) -> bytes:
-    """Ascending 64-bit integers as the first, then differences of 6 bytes, or of 8 where needed."""
+    """Ascending 64-bit integers as the first, then differences of 4, 6 or 8 bytes."""
     if not len(h):
         return b""
     step = np.diff(h)
-    width = 6 if not len(step) or int(step.max()) < 1 << 48 else 8
+    most = int(step.max()) if len(step) else 0
+    width = 4 if most < 1 << 32 else 6 if most < 1 << 48 else 8
     return bytes([width]) + h[:1].astype("<u8").tobytes() + step.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
 
 

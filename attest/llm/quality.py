@@ -176,17 +176,17 @@ def scored(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
 
     def each(batches):
         for batch in batches:
-            data, at = text_bytes(batch.column(0))
+            data, at = text_bytes(batch.column(0).field("text"))
             m = np.empty(batch.num_rows)
             for i in range(batch.num_rows):
                 own = grams(data[at[i] : at[i + 1]])
                 dot, square = both[:, own].sum(1, dtype=np.float64) if len(own) else (0.0, 0.0)
                 m[i] = dot / max(np.sqrt(square), 1e-12) + model.bias
             score = model.scores(m)
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(score), pa.array((score >= threshold).astype(np.int32))], ["doc", "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), pa.array((score >= threshold).astype(np.int32))], ["doc", "score", "predicted"])
 
     ship(docs.sparkSession)
-    taken = docs.select("text", F.struct(*docs.columns).alias("doc"))
+    taken = docs.select(F.struct(*docs.columns).alias("doc"))
     return taken.mapInArrow(each, StructType([taken.schema["doc"], StructField("score", DoubleType()), StructField("predicted", IntegerType())]))
 
 

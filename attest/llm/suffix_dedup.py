@@ -34,10 +34,10 @@ from .ngram_join import pack_sorted, unpack_sorted
 LENGTH = 200
 GRAM = 32
 #: Anchors or windows that a task holds before it packs them.
-PACKET = 1_000_000
+PACKET = 500_000
 PACKET_DOCS = 30_000
 #: Bytes of documents that are hashed at once. Longer documents are cut into overlapping pieces.
-PIECE = 1 << 21
+PIECE = 1 << 18
 #: Contexts of one anchor in one packet, above which the packet sends the anchor's windows itself.
 CONTEXTS = 16
 
