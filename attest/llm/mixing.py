@@ -68,7 +68,8 @@ def sampled_copies(docs: DataFrame, weights: list[float], most: float = 3.0, see
     row_key = F.xxhash64("text")
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", n_words(F.col("text")).alias("size"), row_key.alias("row_key"))
     order = ["source", "size", "mixed", "doc_id", "row_key"]
-    base = base.withColumn("mixed", _digest(seed, F.col("doc_id").cast("string")))
+    # words are counted once, not again for the bounds of the ranges
+    base = staged(base.withColumn("mixed", _digest(seed, F.col("doc_id").cast("string"))), "counts")
     base = staged(base.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order).withColumn("seq", F.monotonically_increasing_id()), "sizes").withColumn("range", F.shiftright("seq", 33))
     sums = base.groupBy("range", "source").agg(F.sum("size").alias("size"), F.count("*").alias("n"))
     aim = targets(sums.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)

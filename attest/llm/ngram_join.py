@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, mix, mix_int, partitions, shingle_hashes, ship, slices, staged, text_bytes, word_hashes
+from .common import dropped, mix, mix_int, partitions, released, shingle_hashes, ship, slices, staged, text_bytes, word_hashes
 from .graph import components
 
 #: Tokens that a task holds before it packs them.
@@ -332,8 +332,10 @@ def near_sets(docs: DataFrame, k: int = 5, threshold: str = "0.8") -> tuple[Data
     # equal sets of several packets: whichever packet found the most shared tokens has them all
     left = staged(left, "left")
     dropped(told)
-    left = left.groupBy("set_id").agg(F.max_by(F.struct("n", "tokens"), F.length("tokens")).alias("x")).select("set_id", "x.n", "x.tokens")
+    every, left = left, left.groupBy("set_id").agg(F.max_by(F.struct("n", "tokens"), F.length("tokens")).alias("x")).select("set_id", "x.n", "x.tokens")
     left = staged(left, "left")
+    dropped(every)
+    released(spark)
     count = frequencies(left)
     keys = staged(left.mapInArrow(_prefixes(t, count), "node long, key long"), "prefixes")
     stars = keys.join(keys.groupBy("key").agg(F.min("node").alias("b")), "key").select(F.col("node").alias("a"), "b")
@@ -343,13 +345,17 @@ def near_sets(docs: DataFrame, k: int = 5, threshold: str = "0.8") -> tuple[Data
         nodes = nodes.join(part.select(F.col("node").alias(f"node{o}"), F.col("component").alias(f"part{o}")), f"node{o}")
     nodes = nodes.select("set_id", F.xxhash64(*(f"part{o}" for o in range(ORDERS))).alias("family"))
     nodes = staged(nodes, "families")
+    dropped(keys)
     sizes = nodes.groupBy("family").count().where("count > 1").select("family", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
     members = left.join(nodes, "set_id").join(sizes, "family")
     members = members.withColumn("block", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
     members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     members = members.select("family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "set_id", "n", "tokens")
-    links = members.groupBy("family", "i", "j").applyInArrow(_verified(t), "a long, b long")
-    return sets, staged(links, "links")
+    links = staged(members.groupBy("family", "i", "j").applyInArrow(_verified(t), "a long, b long"), "links")
+    for done in (nodes, left):
+        dropped(done)
+    released(spark)
+    return sets, links
 
 
 def near_components(docs: DataFrame, k: int = 5, threshold: str = "0.8") -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from .common import mix, ship, text_bytes
+from .common import mix, released, ship, text_bytes
 
 #: Hashed features.
 BITS = 18
@@ -70,10 +70,12 @@ def fit_hinge(rows: list[np.ndarray], values: np.ndarray, labels: np.ndarray, c:
     Rows are scaled to length one. The bias is a feature that every row has.
     """
     y = np.where(labels > 0, 1.0, -1.0)
-    scaled = []
-    for row in rows:
+    ends = np.concatenate([[0], np.cumsum([len(row) for row in rows])])
+    every = np.empty(ends[-1], np.float32)
+    scaled = [every[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    for row, out in zip(rows, scaled, strict=True):
         x = values[row]
-        scaled.append((x / max(np.sqrt(x @ x), 1e-12)).astype(np.float32))
+        out[:] = x / max(np.sqrt(x @ x), 1e-12)
     # the rarer class weighs as much as the commoner one
     share = np.array([(y < 0).mean(), (y > 0).mean()])
     upper = np.where(y > 0, c * 0.5 / max(share[1], 1e-9), c * 0.5 / max(share[0], 1e-9))
@@ -153,7 +155,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Model:
         share = (y.sum() + 1) / (len(y) + 2)
         return Model(np.zeros(1 << BITS, np.float32), 0.0, 1.0, float(np.log(share / (1 - share))))
     # probabilities are fitted to margins of rows that the margins' model has not seen
-    half = np.arange(len(y)) % 4 == 0
+    half, part = np.arange(len(y)) % 4 == 0, None
     if len(set(y[half])) == 2 and len(set(y[~half])) == 2:
         part = [r for r, h in zip(x, half, strict=True) if not h]
         ratio = log_count_ratios(part, y[~half])
@@ -163,6 +165,9 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Model:
         slope, shift = 1.0, 0.0
     ratio = log_count_ratios(x, y)
     w, bias = fit_hinge(x, ratio, y)
+    del got, rows, x, part
+    pa.default_memory_pool().release_unused()
+    released(docs.sparkSession)
     return Model(np.stack([(w * ratio), ratio * ratio]).astype(np.float32), bias, slope, shift)
 
 
