@@ -4,11 +4,11 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 read again as the next one's docs. Stages keep the columns of documents, but for the last.
 """
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from attest.llm import mixing, ngram_join, quality, spm, suffix_dedup
-from attest.llm.common import new_path, staged
+from attest.llm.common import new_path
 from attest.llm.queries import WEIGHTS, table, vocabulary
 
 
@@ -24,15 +24,19 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first row of each group that 5-word shingle similarity of 0.8 or more connects.
 
-    First is the least doc_id, nulls last, then the least hash of the text. Rows without words are
-    in no group and stay; of those that repeat a doc_id and its text, one stays.
+    First is the least doc_id, nulls last, then the least hash of the text. Rows that repeat a
+    doc_id (or have none) and a text are one document, of which one row stays. Rows without words
+    are in no group and stay.
     """
-    rows = staged(docs.select(F.struct(*docs.columns).alias("doc"), F.monotonically_increasing_id().alias("row")), "rows")
-    found = ngram_join.near_components(rows.select(F.col("row").alias("doc_id"), "doc.text"), 5, "0.8").where("n_shingles > 0").select(F.col("doc_id").alias("of"), "component_id")
-    named = rows.select("row", F.col("doc.doc_id").cast("long").alias("id"), F.xxhash64(F.isnull("doc.text"), "doc.text").alias("hash")).join(found, F.col("row") == F.col("of"), "left")
-    alone = F.when(F.col("component_id").isNull(), F.struct(F.isnull("id").alias("none"), F.coalesce("id", "row").alias("id"), "hash"))
-    kept = named.groupBy("component_id", alone.alias("alone")).agg(F.min(F.struct(F.isnull("id").alias("none"), "id", "hash", "row")).alias("first"))
-    return rows.join(kept.select("first.row"), "row", "left_semi").select("doc.*")
+    id = F.col("doc.doc_id").cast("long")
+    row = docs.select(F.struct(*docs.columns).alias("doc")).withColumn("hash", F.xxhash64(F.isnull("doc.text"), "doc.text"))
+    row = row.withColumn("key", F.xxhash64(F.isnull(id), id, "hash"))
+    found = ngram_join.near_components(row.select(F.col("key").alias("doc_id"), "doc.text"), 5, "0.8").where("n_shingles > 0").select(F.col("doc_id").alias("of"), "component_id").distinct()
+    named = row.select("key", id.alias("id"), "hash").distinct().join(found, F.col("key") == F.col("of"), "left")
+    # components are named by a key, so one without words is named by its own
+    kept = named.groupBy(F.col("component_id").isNull().alias("alone"), F.coalesce("component_id", "key").alias("group")).agg(F.min(F.struct(F.isnull("id").alias("none"), "id", "hash", "key")).alias("first"))
+    left = row.join(kept.select("first.key"), "key", "left_semi")
+    return left.withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy("hash"))).where("n = 1").select("doc.*")
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
