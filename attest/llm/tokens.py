@@ -221,9 +221,9 @@ def write_tokens(docs: DataFrame, tokenizer: str, out: str, end_id: int | None =
                 control, data = pack(ranks)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(r) for r in ranks], pa.int64()), pa.array(control, pa.binary()), pa.array(data, pa.binary())], ["doc_id", "n_tokens", "control", "data"])
 
-    packed = ids.mapInArrow(each, "doc_id long, n_tokens long, control binary, data binary")
-    order = ["doc_id", "n_tokens", "control", "data"]
-    packed = packed.repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions(*order)
+    # in order before they are packed, as the bounds of the ranges are looked for in all rows
+    ordered = ids.repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id", F.length("ids"), "ids")
+    packed = ordered.mapInArrow(each, "doc_id long, n_tokens long, control binary, data binary")
     packed.withColumn("seq", F.monotonically_increasing_id()).write.option("compression", "zstd").parquet(out)
     dropped(ids)
     return by_rank
