@@ -34,7 +34,7 @@ def branches(messages: DataFrame) -> DataFrame:
 
     messages has the columns tree_id, message_id, parent_id (null at a root), role, text, score.
     Message ids are unique within a tree; tree ids may be null. A parent that is missing makes its
-    child a root; messages on a cycle have no leaf below them and are in no path. Null scores
+    child a root; messages on a cycle, and those below one, have no root and are in no path. Null scores
     count as 0. Other columns are ignored. An empty table gives no paths.
 
     Returns tree_id, leaf_id, rank (1 is best: highest mean score, then longest, then smallest
@@ -48,12 +48,16 @@ def branches(messages: DataFrame) -> DataFrame:
     link = staged(ids.join(parent, tree("tree_id", "pt") & (F.col("parent_id") == F.col("pm"))).select("tree_id", "message_id", F.col("pm").alias("up")), "links")
     has_child = link.select(F.col("tree_id").alias("ct"), F.col("up").alias("cm")).distinct()
     paths = staged(ids.join(has_child, tree("tree_id", "ct") & (F.col("message_id") == F.col("cm")), "left_anti").select("tree_id", F.col("message_id").alias("leaf_id"), F.col("message_id").alias("node_id"), F.lit(0).cast("long").alias("depth")), "paths")
-    step = 1
+    step, most = 1, ids.groupBy("tree_id").count().agg(F.max("count")).first()[0] or 0
     while True:
         jump = link.select(F.col("tree_id").alias("jt"), F.col("message_id").alias("jm"), F.col("up").alias("far"))
         further = staged(paths.join(jump, tree("tree_id", "jt") & (F.col("node_id") == F.col("jm"))).select("tree_id", "leaf_id", F.col("far").alias("node_id"), (F.col("depth") + step).alias("depth")), "paths")
         if further.isEmpty():
             break
+        if step >= most:  # no path is longer than its tree: these run round a cycle
+            lost = further.select(F.col("tree_id").alias("lt"), F.col("leaf_id").alias("ll")).distinct()
+            paths = paths.join(lost, tree("tree_id", "lt") & (F.col("leaf_id") == F.col("ll")), "left_anti")
+            break
         paths = paths.unionByName(further)
         link = staged(link.join(jump, tree("tree_id", "jt") & (F.col("up") == F.col("jm"))).select("tree_id", "message_id", F.col("far").alias("up")), "links")
         step *= 2

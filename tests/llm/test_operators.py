@@ -88,6 +88,8 @@ def test_chat(spark):
     assert [chat.unescape(text[s["first"] : s["last"]]) for s in spans] == ["</s>[INST] a [/INST]"]
     assert "</s>" not in text[spans[0]["first"] : spans[0]["last"]]
     assert chat.branches(messages.limit(0)).count() == 0
+    below = [("c", 1, 2, "a", "", 0.0), ("c", 2, 1, "a", "", 0.0), ("c", 3, 1, "a", "hangs below a cycle", 0.0), ("c", 4, 3, "a", "and its child", 0.0), ("c", 5, None, "a", "a root", 0.0), ("c", 6, 5, "a", "its leaf", 0.0), ("d", 1, 1, "a", "its own parent", 0.0)]
+    assert [(r["tree_id"], r["leaf_id"], r["n_turns"]) for r in chat.branches(spark.createDataFrame(below, messages.schema)).collect()] == [("c", 6, 2)]
 
 
 @pytest.mark.parametrize("text", ["<<s>", "</s>", "[INST]", "[\\\\/INST]", "<\\s><s>", "a\\<</SYS>>", "[/INST][INST]<</SYS>>"])
@@ -365,6 +367,9 @@ def test_chroma_finds_all_that_a_plain_search_finds(spark):
     got = chroma.aligned(chroma.classes(prints, "id"), "id").collect()
     assert {(r["query_id"], r["match_id"]) for r in got} == want and len(got) == len(want) > 50
     assert {(2000, 2001), (2050, 2051)} <= want
+    least = {q: min((r["bit_error_rate"], r["match_id"]) for r in got if r["query_id"] == q) for q in {r["query_id"] for r in got}}
+    best = chroma.best_alignments(chroma.classes(prints, "id"), "id").collect()
+    assert {r["query_id"]: (r["n_links"], r["bit_error_rate"], r["match_id"]) for r in best} == {q: (sum(r["query_id"] == q for r in got), *x) for q, x in least.items()}
     by_id = dict(rows)
     for r in got:
         wrong, n = chroma.bit_errors(by_id[r["query_id"]], by_id[r["match_id"]], r["offset"])
