@@ -214,21 +214,8 @@ def best_offsets(query: np.ndarray, others: np.ndarray, least: int, most_errors:
     return offset, votes, errors
 
 
-def aligned(prints: DataFrame, key: str, every: int = 50, least_votes: int = 4, most_errors: float = 0.25) -> DataFrame:
-    """Recordings that align with queries, as pairs of classes.
-
-    Recordings with equal prints are one class, whose least key stands for it. Queries are the
-    classes that hold a recording whose key is divisible by `every`; they are held against all
-    classes, at every difference of places that leaves `least_votes` places or more to compare. A
-    pair stays if at most `most_errors` of its bits are unequal at a difference where at least
-    `least_votes` integers are equal or half of the shorter recording is compared; of several
-    differences that with the most equal integers (votes), then the least errors, then the smallest.
-
-    Nothing is left out by an index, as bits with so many errors leave few integers, or bytes,
-    equal: the work is queries times recordings times the product of their lengths.
-
-    Returns query_id, match_id, offset, votes, bit_error_rate.
-    """
+def _compared(prints: DataFrame, key: str, every: int, least_votes: int, most_errors: float, summed: bool) -> DataFrame:
+    """Matches of queries with recordings; summed, a row for each query and block of recordings with its number of matches and the best of them."""
     held = staged(prints, "prints")
     reps = held.where((F.col(key) == F.col("class_id")) & (F.size("prints") > 0)).dropDuplicates([key])
     asked = held.where(F.pmod(F.col(key), F.lit(every)) == 0).select(F.col("class_id").alias("query_id")).distinct()
@@ -245,11 +232,49 @@ def aligned(prints: DataFrame, key: str, every: int = 50, least_votes: int = 4,
                 others, lengths, starts, parts = unpacked(batch, 3, i)
                 alike = [(own := np.flatnonzero(lengths == n), parts[starts[own][:, None] + np.arange(n)]) for n in np.unique(lengths)]
                 for q, a, b in zip(keys, ends[:-1], ends[1:], strict=True):
+                    hits: list = [[], [], [], []]
                     for own, matrix in alike:
                         offset, votes, errors = best_offsets(whole[a:b], matrix, least_votes, most_errors)
                         good = (errors <= most_errors) & (others[own] != q)
-                        if good.any():
-                            yield pa.RecordBatch.from_arrays([pa.array(np.full(int(good.sum()), q)), pa.array(others[own][good]), pa.array(offset[good].astype(np.int32)), pa.array(votes[good].astype(np.int64)), pa.array(errors[good])], ["query_id", "match_id", "offset", "votes", "bit_error_rate"])
+                        for out, x in zip(hits, (others[own], offset.astype(np.int32), votes.astype(np.int64), errors), strict=True):
+                            out.append(x[good])
+                    hits = [np.concatenate(x) for x in hits]
+                    n = len(hits[0])
+                    if n and summed:
+                        hits = [x[np.lexsort((hits[0], hits[3]))[:1]] for x in hits]
+                    if n:
+                        count = [pa.array([n], pa.int64())] if summed else []
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(hits[0]), q)), *map(pa.array, hits), *count], ["query_id", "match_id", "offset", "votes", "bit_error_rate", *["n_links"][: len(count)]])
 
     pairs = staged(_blocks(queries, key, "query"), "queries").crossJoin(staged(_blocks(reps, key, "other"), "others"))
-    return pairs.repartition(partitions(held.sparkSession)).mapInArrow(each, _FOUND)
+    return pairs.repartition(partitions(held.sparkSession)).mapInArrow(each, _FOUND + ", n_links long" * summed)
+
+
+def best_alignments(prints: DataFrame, key: str, every: int = 50, least_votes: int = 4, most_errors: float = 0.25) -> DataFrame:
+    """query_id, n_links (classes that align with it) and the best of them, for every query that has any.
+
+    Queries and matches are those of `aligned`; best is the one with the least errors, then the
+    smallest key. Each task sums up its blocks, so that matches, which grow with queries times
+    recordings, do not travel.
+    """
+    found = _compared(prints, key, every, least_votes, most_errors, True)
+    best = F.min_by(F.struct("match_id", "offset", "votes", "bit_error_rate"), F.struct("bit_error_rate", "match_id")).alias("best")
+    return found.groupBy("query_id").agg(F.sum("n_links").alias("n_links"), best).select("query_id", "n_links", "best.*")
+
+
+def aligned(prints: DataFrame, key: str, every: int = 50, least_votes: int = 4, most_errors: float = 0.25) -> DataFrame:
+    """Recordings that align with queries, as pairs of classes.
+
+    Recordings with equal prints are one class, whose least key stands for it. Queries are the
+    classes that hold a recording whose key is divisible by `every`; they are held against all
+    classes, at every difference of places that leaves `least_votes` places or more to compare. A
+    pair stays if at most `most_errors` of its bits are unequal at a difference where at least
+    `least_votes` integers are equal or half of the shorter recording is compared; of several
+    differences that with the most equal integers (votes), then the least errors, then the smallest.
+
+    Nothing is left out by an index, as bits with so many errors leave few integers, or bytes,
+    equal: the work is queries times recordings times the product of their lengths.
+
+    Returns query_id, match_id, offset, votes, bit_error_rate.
+    """
+    return _compared(prints, key, every, least_votes, most_errors, False)
