@@ -196,22 +196,39 @@ def _blocks(prints: DataFrame, key: str, name: str) -> DataFrame:
     return prints.select(F.col(key).cast("long"), "prints").mapInArrow(each, f"{name}_keys binary, {name}_sizes binary, {name}_prints binary")
 
 
-def best_offsets(query: np.ndarray, others: np.ndarray, least: int, most_errors: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Best offset, votes there and share of unequal bits there (2 without any) of recordings of one length, a row each."""
-    m, (rows, n) = len(query), others.shape
-    offset, votes, errors = np.zeros(rows, np.int64), np.full(rows, -1), np.full(rows, 2.0)
+def signs(prints: np.ndarray) -> np.ndarray:
+    """Rows of 32-bit integers as rows of +1 and -1, one a bit."""
+    bits = np.unpackbits(np.ascontiguousarray(prints, "<u4").view(np.uint8).reshape(len(prints), -1), axis=1)
+    return bits.astype(np.float32) * 2 - 1
+
+
+def alignments(queries: np.ndarray, others: np.ndarray, least: int, most_errors: float) -> tuple[np.ndarray, ...]:
+    """Rows of queries and of others that align, and offset, votes and share of unequal bits where they do so best.
+
+    Each row is a recording; those of queries have one length, and those of others. Unequal bits at
+    one offset are a product of matrices of signs, whose sums are exact.
+    """
+    (_, m), (_, n) = queries.shape, others.shape
+    left, right = signs(queries), signs(others)
+    found = []
     for o in range(least - n, m - least + 1):
         low, high = max(0, o), min(m, n + o)
-        apart = others[:, low - o : high - o] ^ query[low:high]
-        wrong = np.bitwise_count(apart).sum(1, dtype=np.int64) / (32 * (high - low))
-        good = wrong <= most_errors
-        if not good.any():
-            continue
-        same = (apart == 0).sum(1)
-        good &= (same >= least) | (2 * (high - low) >= min(m, n))
-        good &= (same > votes) | ((same == votes) & (wrong < errors))
-        offset[good], votes[good], errors[good] = o, same[good], wrong[good]
-    return offset, votes, errors
+        size = 32 * (high - low)
+        agree = left[:, 32 * low : 32 * high] @ right[:, 32 * (low - o) : 32 * (high - o)].T
+        i, j = np.nonzero(agree >= size * (1 - 2 * most_errors))
+        same = np.concatenate([(queries[i[c : c + 65536], low:high] == others[j[c : c + 65536], low - o : high - o]).sum(1) for c in range(0, len(i), 65536)] or [np.zeros(0, np.int64)])
+        keep = (same >= least) | (2 * (high - low) >= min(m, n))
+        i, j, same = i[keep], j[keep], same[keep]
+        found.append((i, j, np.full(len(i), o), same, (size - agree[i, j].astype(np.float64)) / (2 * size)))
+    i, j, offset, votes, errors = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 5
+    order = np.lexsort((offset, errors, -votes, j, i))
+    first = np.ones(len(order), bool)
+    first[1:] = (i[order][1:] != i[order][:-1]) | (j[order][1:] != j[order][:-1])
+    return tuple(x[order[first]] for x in (i, j, offset, votes, errors))
+
+
+#: Signs of recordings that are compared at once.
+SIGNS = 1 << 21
 
 
 def _compared(prints: DataFrame, key: str, every: int, least_votes: int, most_errors: float, summed: bool) -> DataFrame:
@@ -230,21 +247,22 @@ def _compared(prints: DataFrame, key: str, every: int, least_votes: int, most_er
             for i in range(batch.num_rows):
                 keys, sizes, ends, whole = unpacked(batch, 0, i)
                 others, lengths, starts, parts = unpacked(batch, 3, i)
-                alike = [(own := np.flatnonzero(lengths == n), parts[starts[own][:, None] + np.arange(n)]) for n in np.unique(lengths)]
-                for q, a, b in zip(keys, ends[:-1], ends[1:], strict=True):
-                    hits: list = [[], [], [], []]
-                    for own, matrix in alike:
-                        offset, votes, errors = best_offsets(whole[a:b], matrix, least_votes, most_errors)
-                        good = (errors <= most_errors) & (others[own] != q)
-                        for out, x in zip(hits, (others[own], offset.astype(np.int32), votes.astype(np.int64), errors), strict=True):
-                            out.append(x[good])
-                    hits = [np.concatenate(x) for x in hits]
-                    n = len(hits[0])
-                    if n and summed:
-                        hits = [x[np.lexsort((hits[0], hits[3]))[:1]] for x in hits]
-                    if n:
-                        count = [pa.array([n], pa.int64())] if summed else []
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(hits[0]), q)), *map(pa.array, hits), *count], ["query_id", "match_id", "offset", "votes", "bit_error_rate", *["n_links"][: len(count)]])
+                for m, n in ((m, n) for m in np.unique(sizes) for n in np.unique(lengths)):
+                    own, mine = np.flatnonzero(sizes == m), np.flatnonzero(lengths == n)
+                    few, many = max(1, SIGNS // (32 * int(m))), max(1, SIGNS // (32 * int(n)))
+                    for x, y in ((own[c : c + few], mine[d : d + many]) for c in range(0, len(own), few) for d in range(0, len(mine), many)):
+                        left, right = whole[ends[x][:, None] + np.arange(m)], parts[starts[y][:, None] + np.arange(n)]
+                        q, r, offset, votes, errors = alignments(left, right, least_votes, most_errors)
+                        q, r = keys[x[q]], others[y[r]]
+                        good = q != r
+                        hits = [q[good], r[good], offset[good].astype(np.int32), votes[good].astype(np.int64), errors[good]]
+                        if summed and len(hits[0]):
+                            hits = [h[order] for order in [np.lexsort((hits[1], hits[4], hits[0]))] for h in hits]
+                            at = np.flatnonzero(np.concatenate([[True], hits[0][1:] != hits[0][:-1]]))
+                            hits = [*(h[at] for h in hits), np.diff(np.append(at, len(hits[0])))]
+                        if len(hits[0]):
+                            names = ["query_id", "match_id", "offset", "votes", "bit_error_rate", "n_links"][: len(hits)]
+                            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(h)) for h in hits], names)
 
     pairs = staged(_blocks(queries, key, "query"), "queries").crossJoin(staged(_blocks(reps, key, "other"), "others"))
     return pairs.repartition(partitions(held.sparkSession)).mapInArrow(each, _FOUND + ", n_links long" * summed)
