@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.fixed import NO_CLAIM
 from ..operators import probes, providers, retrieval
 from ..operators.chunking import chunk_documents
 from ..operators.grounding import check_claims, coverage, is_checkable_claim, relevance, with_evidence
@@ -229,11 +230,24 @@ def oracle_sql() -> dict[str, str]:
     own = f"SELECT question_id, {asked.format(sql.tokens('question'))} AS q, {sql.tokens('draft')} AS d, {asked.format(sql.tokens('draft'))} AS dl, {sql.tokens('question')} AS qa FROM ({_EXCHANGES})"
     vectors = "SELECT b.item_id::VARCHAR AS question_id, e.embedding AS q FROM benchmark b JOIN embeddings e ON e.vec_id = b.item_id"
     cosine = "list_cosine_similarity(q::DOUBLE[], embedding::DOUBLE[])"
-    greeting = "^(ola|oi|bom dia|boa tarde|boa noite|hello|hi|hey|ciao|buongiorno)\\b|^(obrigad|thank|grazie|de nada|you''re welcome|disponha)|^(posso ajudar|precisa de mais|anything else|algo mais|mais alguma)|^(claro|certamente|com certeza|sure|of course|certo)\\b[.!,]?$|^(vou verificar|deixa comigo|um momento|one moment|let me check)|\\?$"
+    greeting = "|".join(NO_CLAIM).replace("'", "''")
+    claim = f"NOT regexp_matches({sql.normalize('sentence')}, '{greeting}') AND len({sql.tokens('sentence')}) >= 2"
+    chunked = sql.chunks(_plain_sentences("doc_id, text", "text", "SELECT doc_id::VARCHAR AS doc_id, coalesce(text, '') AS text FROM documents WHERE doc_id IS NOT NULL"))
+    begun = lambda asked: f"WITH RECURSIVE {chunked}, {sql.bm25('SELECT chunk_id, text FROM chunked', asked)}"
+    echoed = r"SELECT question_id, CASE WHEN body <> '' THEN body ELSE text END AS draft FROM (SELECT question_id, text, trim(regexp_replace(text, '^(?:[^\S\n]*(?:#[^\n]*)?(?:\n|$))+', ''), ' ' || chr(9) || chr(10) || chr(13)) AS body FROM evidence WHERE rank = 1)"
+    scripted = f"SELECT question_id, coalesce(trim(draft, ' ' || chr(9) || chr(10) || chr(13)), 'INSUFICIENTE') AS draft FROM ({_EXCHANGES}) WHERE question_id IN (SELECT question_id FROM evidence)"
+    decided = f"{begun(ITEMS)}, {sql.checks(echoed, _plain_sentences, claim)}, {sql.decisions(ITEMS)}"
+    talked = f"SELECT question_id, question FROM ({_EXCHANGES})"
     return {
         "normalize_text": f"SELECT doc_id, {sql.normalize('text')} AS normalized FROM documents",
         "tokenize_counts": f"SELECT token, count(*) AS n FROM (SELECT unnest({sql.tokens('text')}) AS token FROM documents) GROUP BY token",
         "sentence_split": f"SELECT doc_id, (generate_subscripts(sentences, 1) - 1)::INTEGER AS pos, unnest(sentences) AS sentence FROM ({_plain_sentences('doc_id', 'text', 'SELECT * FROM documents')})",
+        "extract_numbers": f"SELECT doc_id, (generate_subscripts(numbers, 1) - 1)::INTEGER AS pos, unnest(numbers) AS number FROM (SELECT doc_id, {sql.figures('text')} AS numbers FROM documents)",
+        "chunks": f"WITH RECURSIVE {chunked} SELECT chunk_id, doc_id, start, \"end\", sha256(text) AS text_sha256 FROM chunked",
+        "claim_support": f"{begun(ITEMS)}, {sql.checks('SELECT question_id, question AS draft FROM (' + ITEMS + ')', _plain_sentences, claim)} SELECT question_id, pos::INTEGER AS pos, supported, round(support_score, 6) AS support_score, supporting_chunk_ids, unsupported_numbers, reason FROM checked",
+        "answers": f"{decided} SELECT * FROM decided",
+        "conversation_verdicts": f"{begun(talked)}, {sql.checks(scripted, _plain_sentences, claim)}, {sql.decisions(talked)} SELECT question_id, action, verdict, confidence FROM decided",
+        "audit_by_action": f"{decided} SELECT count(*) AS questions, count(*) FILTER (WHERE action = 'answer') AS answered, count(*) FILTER (WHERE action <> 'answer') AS blocked, coalesce(count(*) FILTER (WHERE action <> 'answer') / nullif(count(*), 0)::DOUBLE, 0.0::DOUBLE) AS block_rate FROM decided",
         "bm25_index_stats": f"WITH {bm25} SELECT term, df, round(idf, 6) AS idf FROM terms",
         "bm25_topk": f"WITH {bm25} {_RANKED.format(score='round(score / peak, 6)', table='scores')}",
         "dense_topk": f"SELECT question_id, chunk_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id) AS rank FROM (SELECT question_id, vec_id::VARCHAR AS chunk_id, round({cosine}, 6) AS score FROM ({vectors}), embeddings)) WHERE rank <= 4",
@@ -243,7 +257,7 @@ dense AS (SELECT question_id, vec_id::VARCHAR AS chunk_id, greatest({cosine}, 0)
 lexical AS (SELECT s.question_id, chunk_id, CASE WHEN peak > 0 THEN score / peak ELSE 0 END AS lexical FROM scores s JOIN peaks p ON s.question_id = p.question_id),
 blend AS (SELECT coalesce(d.question_id, l.question_id) AS question_id, coalesce(d.chunk_id, l.chunk_id) AS chunk_id, round(0.65::DOUBLE * coalesce(lexical, 0) + 0.35::DOUBLE * coalesce(dense, 0), 9) AS score FROM dense d FULL JOIN lexical l ON d.question_id = l.question_id AND d.chunk_id = l.chunk_id)
 {_RANKED.format(score='round(score, 5)', table='blend')}""",
-        "checkable_claims": f"SELECT question_id, pos, NOT regexp_matches({sql.normalize('sentence')}, '{greeting}') AND len({sql.tokens('sentence')}) >= 2 AS checkable FROM (SELECT question_id, generate_subscripts(sentences, 1) - 1 AS pos, unnest(sentences) AS sentence FROM ({_plain_sentences('question_id', 'draft', _EXCHANGES)}))",
+        "checkable_claims": f"SELECT question_id, pos, {claim} AS checkable FROM (SELECT question_id, generate_subscripts(sentences, 1) - 1 AS pos, unnest(sentences) AS sentence FROM ({_plain_sentences('question_id', 'draft', _EXCHANGES)}))",
         "turn_relevance": f"SELECT question_id, {share('q', 'd').format('1.0::DOUBLE')} AS relevance FROM ({own})",
         "turn_coverage": f"SELECT question_id, {share('dl', 'qa').format('0.0::DOUBLE')} AS coverage FROM ({own})",
         "webhook_parse": "SELECT event_type AS text, user_id || CASE WHEN event_id % 7 = 0 THEN '@g.us' ELSE '@s.whatsapp.net' END AS sender, 'main' AS instance, event_id::VARCHAR AS message_id, event_type AS sender_name, event_id % 7 = 0 AS is_group, event_id % 7 <> 0 AND trim(event_type) <> '' AS actionable FROM events WHERE event_id % 5 <> 0 AND event_id % 3 <> 1",
