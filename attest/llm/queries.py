@@ -50,6 +50,23 @@ FROM said GROUP BY conv_id
 """
 
 
+OP1_SQL = r"""
+WITH RECURSIVE base AS (
+  SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), sets AS (
+  SELECT row, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i : i + 3], ' '))) END AS s FROM base
+), tokens AS (
+  SELECT row, len(s) AS n, unnest(s) AS token FROM sets
+), near AS (
+  SELECT a.row AS a, b.row AS b FROM tokens a JOIN tokens b ON a.token = b.token AND a.row <> b.row
+  GROUP BY a.row, b.row HAVING 100 * count(*) >= 85 * (any_value(a.n) + any_value(b.n) - count(*))
+), reach AS (
+  SELECT row AS a, row AS b FROM sets UNION SELECT r.a, n.b FROM reach r JOIN near n ON r.b = n.a
+)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, coalesce(min(t.doc_id), s.doc_id) AS component_id FROM sets s JOIN reach r ON r.a = s.row JOIN sets t ON t.row = r.b GROUP BY s.row, s.doc_id, s.s
+""".replace("\\\\", "\\")
+
+
 def op3_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.binary_token_digests(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), 0)
 
@@ -58,6 +75,26 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeat_digests(table(spark, sf_dir, "documents"))
 
 
+OP4_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, doc_id, encode(coalesce(text, '')) AS b FROM documents
+), windows AS (
+  SELECT row, p, md5(b[p + 1 : p + 200]) AS m FROM (SELECT row, b, unnest(range(0, octet_length(b) - 199)) AS p FROM d)
+), hit AS (
+  SELECT row, p, p > lag(p) OVER (PARTITION BY row ORDER BY p) + 200 AS apart FROM (SELECT row, p, count(*) OVER (PARTITION BY m) AS n FROM windows) WHERE n > 1
+), runs AS (
+  SELECT row, min(p) AS low, max(p) + 200 AS high FROM (SELECT row, p, count(*) FILTER (WHERE apart) OVER (PARTITION BY row ORDER BY p) AS run FROM hit) GROUP BY row, run
+), pieces AS (
+  SELECT row, low, high, coalesce(lag(high) OVER (PARTITION BY row ORDER BY low), 0) AS before FROM runs
+), kept AS (
+  SELECT d.row, sum(high - low) AS n_removed, count(*) AS n_spans, string_agg(hex(b[before + 1 : low]), '' ORDER BY low) || any_value(hex(b[last + 1 : octet_length(b)])) AS rest
+  FROM d JOIN pieces p ON d.row = p.row JOIN (SELECT row, max(high) AS last FROM runs GROUP BY row) l ON l.row = d.row GROUP BY d.row
+)
+SELECT doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(coalesce(unhex(rest), b)) AS kept_sha256
+FROM d LEFT JOIN kept k ON k.row = d.row
+"""
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
@@ -140,4 +177,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_formatting": OP2_SQL, "op7_mixing": OP7_SQL}
+    return {"op1_ngram_join": OP1_SQL, "op2_chat_formatting": OP2_SQL, "op4_suffix_dedup": OP4_SQL, "op7_mixing": OP7_SQL}
