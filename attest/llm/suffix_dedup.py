@@ -416,7 +416,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     lead, tail = (sample.column(c).to_numpy().view(np.uint64) for c in ("lead", "tail"))
     order = np.lexsort((tail, lead))
     at = order[np.linspace(0, len(order) - 1, min(buckets, len(order)) + 1).astype(int)[1:-1]] if len(order) else order
-    windows = asked.join(text, ["k", "kh"]).select("k", "kh", "ask", "text").mapInArrow(_windows((lead[at], tail[at]), length), _ROW)
+    windows = asked.hint("merge").join(text, ["k", "kh"]).select("k", "kh", "ask", "text").mapInArrow(_windows((lead[at], tail[at]), length), _ROW)
     ranked = staged(windows.groupBy("bucket").applyInArrow(_sorted_suffixes, _ROW), "suffixes")
     edges = staged(ranked.groupBy("packet").applyInArrow(_marked(length), mark), "edges")
     dropped(ranked)
@@ -456,7 +456,7 @@ def repeat_digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     found = staged(repeated_spans(docs, length), "spans")
-    joined = keyed(docs).join(found, ["k", "kh"], "left").select("doc_id", "text", "spans")
+    joined = keyed(docs).join(found.hint("merge"), ["k", "kh"], "left").select("doc_id", "text", "spans")
     return joined.mapInArrow(each, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
@@ -478,7 +478,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     others = [c for c in docs.columns if c != "text"]
     row = docs.select(F.struct(*docs.columns).alias("doc"))
     row = row.select("doc", F.coalesce(F.col("doc.doc_id").cast("long"), F.lit(-(2**63))).alias("k"), F.xxhash64(F.isnull(F.col("doc.doc_id").cast("long")), F.coalesce("doc.text", F.lit(""))).alias("kh"), F.col("doc.text").alias("text"))
-    joined = row.join(found, ["k", "kh"], "left").select("text", "spans", F.col("doc").dropFields("text").alias("doc"))
+    joined = row.join(found.hint("merge"), ["k", "kh"], "left").select("text", "spans", F.col("doc").dropFields("text").alias("doc"))
     kind = StructType([StructField("new_text", StringType()), joined.schema["doc"]])
     out = joined.mapInArrow(each, kind)
     value = {"text": F.col("new_text")}
