@@ -104,8 +104,9 @@ def split_sentences(text: Column) -> Column:
     """
     ahead = "(?=[A-ZÀ-ÖØ-Þ0-9])"
     held = F.regexp_replace(F.coalesce(text, F.lit("")), f"(?U)^{_BLANK}+|{_BLANK}+$", "")
-    held = F.regexp_replace(held, f"(?U)(?<={abbreviation()}){_BLANK}+{ahead}", " ")
-    parts = F.split(held, f"(?U)(?<=[.!?;])(?<!{abbreviation()}){_BLANK}+{ahead}", -1)
+    # one character before and one after are looked at first: the list of abbreviations is tried at few places
+    held = F.regexp_replace(held, f"(?U)(?<=[.])(?={_BLANK})(?<={abbreviation()}){_BLANK}+{ahead}", " ")
+    parts = F.split(held, f"(?U)(?<=[.!?;])(?={_BLANK})(?<!{abbreviation()}){_BLANK}+{ahead}", -1)
     lines = F.flatten(F.transform(parts, lambda p: F.split(p, "\n", -1)))
     return F.filter(F.transform(lines, lambda x: F.btrim(x, F.lit(" \t-•*"))), lambda x: x != "")
 

@@ -28,6 +28,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return readers.spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.from_table(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -51,21 +55,21 @@ def exchanges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def normalize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", T.normalize(F.col("text")).alias("normalized"))
+    return texts(spark, sf_dir).select("doc_id", T.normalize(F.col("text")).alias("normalized"))
 
 
 def tokenize_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(F.explode(T.tokenize(F.col("text"))).alias("token"))
+    docs = texts(spark, sf_dir).select(F.explode(T.tokenize(F.col("text"))).alias("token"))
     return docs.groupBy("token").agg(F.count("*").alias("n"))
 
 
 def sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir)
     return docs.select("doc_id", F.posexplode(T.split_sentences(F.col("text"))).alias("pos", "sentence"))
 
 
 def extract_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").where(F.col("text").rlike("[0-9]"))
+    docs = texts(spark, sf_dir).where(F.col("text").rlike("[0-9]"))
     return docs.select("doc_id", F.posexplode(T.extract_numbers(F.col("text"))).alias("pos", "number"))
 
 
@@ -86,7 +90,7 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Vectors of documents and of questions, by id; embeddings stand in for both."""
-    own = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("id"), F.col("embedding").alias("vector"))
+    own = readers.spread(table(spark, sf_dir, "embeddings")).select(F.col("vec_id").cast("string").alias("id"), F.col("embedding").alias("vector"))
     items = questions(spark, sf_dir).select("question_id")
     return own.withColumnRenamed("id", "chunk_id"), own.withColumnRenamed("id", "question_id").join(items, "question_id", "left_semi")
 

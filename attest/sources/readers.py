@@ -22,10 +22,24 @@ def from_texts(spark: SparkSession, texts: dict[str, str]) -> DataFrame:
     return spark.createDataFrame([(k, t, {"source": k}) for k, t in texts.items()], DOCUMENTS)
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """The same rows, dealt out to all cores where the files are too small for that.
+
+    Spark does not split files further than `spark.sql.files.openCostInBytes`, and never inside a
+    row group. A table with less than that for each core would be read, and all that follows be
+    done, by few tasks. Larger tables are left alone, so nothing large is shuffled for it.
+    """
+    spark = rows.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    least = spark._jsparkSession.sessionState().conf().filesOpenCostInBytes()
+    size = rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return rows.repartition(cores) if size < cores * least else rows
+
+
 def from_table(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Documents from any table with a key and a text."""
+    """Documents from any table with a key and a text; rows without a key are left out."""
     own = F.col(key).cast("string")
-    return docs.where(F.col(key).isNotNull()).select(own.alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"), F.create_map(F.lit("source"), own).alias("metadata"))
+    return spread(docs.select(key, text)).where(F.col(key).isNotNull()).select(own.alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"), F.create_map(F.lit("source"), own).alias("metadata"))
 
 
 def from_directory(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
