@@ -18,7 +18,7 @@ def _folds() -> tuple[str, str, tuple[tuple[str, str], ...], str]:
 
     One-to-one folds make a translation, longer ones a map. They cover the scripts and symbols
     below U+2190, enclosed and full-width letters and digits, and ligatures; compatibility forms
-    of Hangul, Arabic and CJK, which never become words, keep their shape.
+    of Hangul, Arabic and CJK, and all beyond U+FFFF, keep their shape.
     """
     single, folded, longer, marks = [], [], [], []
     for point in range(0x80, 0x10000):
