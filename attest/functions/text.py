@@ -16,20 +16,19 @@ _BLANK = r"[\s\x1c-\x1f\x85]"
 def _folds() -> tuple[str, str, tuple[tuple[str, str], ...], str]:
     """Characters with a compatibility decomposition, and the class of combining marks.
 
-    One-to-one folds make a translation, longer ones a map. They cover the scripts and symbols
-    below U+2190, enclosed and full-width letters and digits, and ligatures; compatibility forms
-    of Hangul, Arabic and CJK, and all beyond U+FFFF, keep their shape.
+    One-to-one folds make a translation, longer ones a map. Hangul syllables are left to
+    `_jamo`, which needs no table of them. No character beyond U+2FFFF has a decomposition.
     """
     single, folded, longer, marks = [], [], [], []
-    for point in range(0x80, 0x10000):
+    for point in range(0x80, 0x30000):
         char = chr(point)
-        if 0xD800 <= point <= 0xDFFF:
+        if 0xD800 <= point <= 0xDFFF or 0xAC00 <= point <= 0xD7A3:
             continue
         if unicodedata.combining(char):
             marks.append(point)
             continue
         plain = "".join(c for c in unicodedata.normalize("NFKD", char) if not unicodedata.combining(c))
-        if plain == char or not (point < 0x2190 or 0x2460 <= point < 0x2500 or 0xFB00 <= point < 0xFB07 or 0xFF00 <= point < 0xFFF0 or point == 0x3000):
+        if plain == char:
             continue
         if len(plain) == 1:
             single.append(char)
@@ -45,16 +44,25 @@ def _folds() -> tuple[str, str, tuple[tuple[str, str], ...], str]:
     return "".join(single), "".join(folded), tuple(longer), "[" + "".join(runs) + "]"
 
 
+def _jamo(char: Column) -> Column:
+    """The two or three jamo of a Hangul syllable, by their place in the alphabet."""
+    at = F.ascii(char) - 0xAC00
+    part = lambda first, n, i: F.element_at(F.split(F.lit("".join(map(chr, range(first, first + n)))), ""), i.cast("int") + 1)
+    tail = F.when(at % 28 > 0, part(0x11A8, 27, F.greatest(at % 28, F.lit(1)) - 1)).otherwise("")
+    return F.concat(part(0x1100, 19, F.floor(at / 588)), part(0x1161, 21, F.floor(at % 588 / 28)), tail)
+
+
 def normalize(text: Column) -> Column:
     """Lower case without accents, white space as single blanks; null gives the empty string."""
     single, folded, longer, marks = _folds()
-    marks = f"[\\p{{M}}&&{marks}]"
+    # Java may know fewer characters than Python does
+    marks = f"[[\\p{{M}}\\p{{Cn}}]&&{marks}]"
     out = F.translate(F.coalesce(text, F.lit("")), single, folded)
     # classes begin with a quick test, as Java asks the members of a long one one after another
-    several = "[[^\\x00-\\x7f]&&[" + "".join(c for c, _ in longer) + "]]"
+    several = "[[^\\x00-\\x7f]&&[\uac00-\ud7a3" + "".join(c for c, _ in longer) + "]]"
     # a map written as a string stays one literal in every plan
     table = F.str_to_map(F.lit("\x02".join(f"{c}\x01{p}" for c, p in longer)), F.lit("\x02"), F.lit("\x01"))
-    many = F.array_join(F.transform(F.split(out, ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
+    many = F.array_join(F.transform(F.split(out, ""), lambda c: F.when(c.between("\uac00", "\ud7a3"), _jamo(c)).otherwise(F.coalesce(F.try_element_at(table, c), c))), "")
     out = F.when(out.rlike(several), many).otherwise(out)
     out = F.lower(F.regexp_replace(out, marks, ""))
     return F.trim(F.regexp_replace(out, f"(?U){_BLANK}+", " "))

@@ -1,6 +1,7 @@
 """Where documents, questions and probe packs come from."""
 
 import json
+import re
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -42,9 +43,30 @@ def from_table(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     return spread(docs.select(key, text)).where(F.col(key).isNotNull()).select(own.alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"), F.create_map(F.lit("source"), own).alias("metadata"))
 
 
+def path_pattern(pattern: str) -> str:
+    """A regular expression for paths below a folder that a glob matches.
+
+    `**` is any number of folders, `*`, `?` and `[...]` stay within a name.
+    """
+    out, parts = "", [p for p in pattern.split("/") if p not in ("", ".")]
+    for i, part in enumerate(parts):
+        last = i == len(parts) - 1
+        if part == "**":
+            out += ".*" if last else "(?:[^/]+/)*"
+            continue
+        for token in re.findall(r"\[!?\]?[^\]]*\]|.", part, re.DOTALL):
+            if len(token) > 1:
+                out += "[" + ("^/" if token[1] == "!" else "") + re.sub(r"([\\\[\]&^])", r"\\\1", token[1 + (token[1] == "!") : -1]) + "]"
+            else:
+                out += {"*": "[^/]*", "?": "[^/]"}.get(token) or (token if token.isalnum() or ord(token) > 127 else "\\" + token)
+        out += "" if last else "/"
+    return f"(?s)^{out}$"
+
+
 def from_directory(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
     """A document for each text file below path; its id is the path from there.
 
+    With a pattern, only paths that it matches as a glob from there, such as `faq/**/*.md`.
     Files that are not UTF-8 or are blank are skipped. Raises where the folder is missing or has
     no document.
     """
@@ -55,8 +77,6 @@ def from_directory(spark: SparkSession, path: str, pattern: str | None = None) -
         raise NotADirectoryError(f"{path} is not a directory")
     root = store.makeQualified(at).toString().rstrip("/") + "/"
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    if pattern:
-        reader = reader.option("pathGlobFilter", pattern)
     files = reader.load(path)
     name = F.url_decode(F.regexp_replace(F.col("path"), r"\+", "%2B"))
     # file:/a and file:///a are the same place
@@ -64,6 +84,8 @@ def from_directory(spark: SparkSession, path: str, pattern: str | None = None) -
     own = F.substring(bare(name), F.length(bare(F.lit(root))) + 1, F.length(name))
     suffix = F.lower(F.regexp_extract(own, r"[^/](\.[^./]+)$", 1))
     docs = files.where(suffix.isin(*SUFFIXES)).select(own.alias("doc_id"), F.try_validate_utf8(F.col("content").cast("string")).alias("text"))
+    if pattern:
+        docs = docs.where(F.col("doc_id").rlike(path_pattern(pattern)))
     docs = docs.where(F.col("text").isNotNull() & F.col("text").rlike(r"(?U)\S")).select("doc_id", F.regexp_replace("text", "\r\n?", "\n").alias("text"), F.create_map(F.lit("source"), F.col("doc_id")).alias("metadata"))
     if docs.isEmpty():
         raise ValueError(f"no readable text documents found under {path}")
@@ -89,6 +111,12 @@ def available_packs() -> list[str]:
     return sorted(p.stem for p in PACKS.glob("*.json"))
 
 
+def pack_vertical(name: str) -> str:
+    """The trade that a bundled pack is made for."""
+    held = json.loads((PACKS / f"{name}.json").read_text(encoding="utf-8"))
+    return held.get("vertical", "") if isinstance(held, dict) else ""
+
+
 def load_pack(name_or_path: str) -> list[str]:
     """Statements of a bundled pack or of a JSON file; a bundled name wins over a path."""
     path = PACKS / f"{name_or_path}.json"

@@ -36,3 +36,19 @@ def test_normalize_folds_like_unicode(spark):
     got = [r[0] for r in spark.createDataFrame([(f"a{c}b",) for c in chars], "t string").select(T.normalize(F.col("t"))).collect()]
     want = [" ".join("".join(x for x in unicodedata.normalize("NFKD", f"a{c}b") if not unicodedata.combining(x)).lower().split()) for c in chars]
     assert got == want
+
+
+def test_normal_form_of_every_character(spark):
+    import re
+    import unicodedata
+
+    points = [p for p in range(0x21, 0x32000) if not 0xD800 <= p <= 0xDFFF and unicodedata.category(chr(p)) not in ("Cn", "Co")]
+    rows = spark.createDataFrame([(p, "a" + chr(p) + "b") for p in points], "point int, text string")
+    got = {r["point"]: r["out"] for r in rows.select("point", T.normalize(F.col("text")).alias("out")).collect()}
+
+    def plain(text):
+        kept = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
+        return re.sub(r"\s+", " ", kept.lower()).strip()
+
+    wrong = [hex(p) for p in points if got[p] != plain("a" + chr(p) + "b")]
+    assert not wrong, wrong[:20]
