@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import chat, chroma, fingerprint, mixing, ngram_join, quality, spm, substrings, suffix_dedup, tokens
+from . import chat, chroma, fingerprint, merkle, mixing, ngram_join, quality, spm, substrings, suffix_dedup, tokens
 from .common import staged
 
 #: A conversation whose texts are control strings of the template.
@@ -161,6 +161,23 @@ FROM runs r JOIN best b ON r.source IS NOT DISTINCT FROM b.source
 """.replace("\\\\", "\\")
 
 
+def document_manifest(docs: DataFrame, height: int = 4) -> DataFrame:
+    """The manifest of documents, one tree a language, with a check of the lower-cased ones.
+
+    A document whose doc_id has a crc32 that 3 divides is checked with its text's A-Z lower-cased;
+    a row without a doc_id is not tampered with.
+    """
+    of = lambda text: merkle.leaf(F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars"), text)
+    low = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 3 == 0, of(low))
+    rows = docs.select("doc_id", "lang", of(F.col("text")).alias("leaf"), tampered.alias("claimed"))
+    return merkle.manifest(rows, "doc_id", "lang", claimed="claimed", height=height).drop("lang")
+
+
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_manifest(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {
         "op1_ngram_join": op1_ngram_join,
@@ -173,6 +190,7 @@ def queries() -> dict:
         "op8_fingerprints": op8_fingerprints,
         "op9_sentencepiece": op9_sentencepiece,
         "op10_chroma": op10_chroma,
+        "op11_merkle_manifest": op11_merkle_manifest,
     }
 
 
