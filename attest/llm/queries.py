@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import chat, chroma, fingerprint, merkle, mixing, ngram_join, quality, spm, substrings, suffix_dedup, tokens
+from . import chat, chroma, divergence, fingerprint, merkle, mixing, ngram_join, quality, spm, substrings, suffix_dedup, tokens, warc
 from .common import staged
 
 #: A conversation whose texts are control strings of the template.
@@ -178,6 +178,83 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_manifest(table(spark, sf_dir, "documents"))
 
 
+#: A field of a leaf, and crc32 of a decimal number bit by bit, as DuckDB has no such function.
+_FIELD = "coalesce(strlen({0}::VARCHAR)::VARCHAR || ':' || {0}::VARCHAR, '-')"
+_CRC = "xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split({0}::VARCHAR, ''), lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))), lambda r, b: CASE WHEN b >= 0 THEN xor(r, b) ELSE xor(r >> 1, (r & 1) * 3988292384) END))"
+_LEAF = "sha256(" + " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars", "{0}")) + ")"
+OP11_SQL = f"""
+WITH RECURSIVE made AS (
+  SELECT row_number() OVER () AS row, doc_id, lang, {_LEAF.format('text')} AS leaf,
+    CASE WHEN doc_id IS NOT NULL AND {_CRC.format('doc_id')} % 3 = 0 THEN {_LEAF.format("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} END AS claimed FROM documents
+), leaves AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, row) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS size FROM made
+), nodes AS (
+  SELECT lang, 0 AS level, pos, leaf AS d, size FROM leaves
+  UNION ALL SELECT lang, level + 1, pos // 8, sha256(string_agg(d, '' ORDER BY pos)), (any_value(size) + 7) // 8 FROM nodes WHERE size > 1 GROUP BY lang, level, pos // 8
+), subroots AS (
+  SELECT lang, d AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos, count(*) OVER () AS size FROM nodes WHERE size = 1
+), tops AS (
+  SELECT 0 AS level, pos, subroot AS d, size FROM subroots
+  UNION ALL SELECT level + 1, pos // 8, sha256(string_agg(d, '' ORDER BY pos)), (any_value(size) + 7) // 8 FROM tops WHERE size > 1 GROUP BY level, pos // 8
+), low AS (
+  SELECT l.row, string_agg(n.d, '' ORDER BY n.level, n.pos) AS others FROM leaves l JOIN nodes n ON n.lang IS NOT DISTINCT FROM l.lang AND n.size > 1 AND n.pos // 8 = (l.pos >> (3 * n.level)) // 8 AND n.pos <> l.pos >> (3 * n.level) GROUP BY l.row
+), high AS (
+  SELECT s.pos, string_agg(t.d, '' ORDER BY t.level, t.pos) AS others FROM subroots s JOIN tops t ON t.size > 1 AND t.pos // 8 = (s.pos >> (3 * t.level)) // 8 AND t.pos <> s.pos >> (3 * t.level) GROUP BY s.pos
+), folds AS (
+  SELECT row, lang, 0 AS level, pos, coalesce(claimed, leaf) AS d, size FROM leaves
+  UNION ALL SELECT f.row, f.lang, f.level + 1, f.pos // 8, sha256(string_agg(CASE WHEN n.pos = f.pos THEN f.d ELSE n.d END, '' ORDER BY n.pos)), (any_value(n.size) + 7) // 8
+  FROM folds f JOIN nodes n ON n.lang IS NOT DISTINCT FROM f.lang AND n.level = f.level AND n.pos // 8 = f.pos // 8 AND n.size > 1 GROUP BY f.row, f.lang, f.level, f.pos
+), ends AS (
+  SELECT f.row, 0 AS level, s.pos, f.d, s.size FROM folds f JOIN subroots s ON s.lang IS NOT DISTINCT FROM f.lang WHERE f.size = 1
+  UNION ALL SELECT e.row, e.level + 1, e.pos // 8, sha256(string_agg(CASE WHEN t.pos = e.pos THEN e.d ELSE t.d END, '' ORDER BY t.pos)), (any_value(t.size) + 7) // 8
+  FROM ends e JOIN tops t ON t.level = e.level AND t.pos // 8 = e.pos // 8 AND t.size > 1 GROUP BY e.row, e.level, e.pos
+)
+SELECT l.doc_id, l.leaf, s.subroot, r.d AS root, sha256(coalesce(w.others, '') || coalesce(h.others, '')) AS proof_sha256, e.d AS folded_root, e.d = r.d AS verified
+FROM leaves l JOIN subroots s ON s.lang IS NOT DISTINCT FROM l.lang JOIN tops r ON r.size = 1 JOIN ends e ON e.row = l.row AND e.size = 1 LEFT JOIN low w ON w.row = l.row LEFT JOIN high h ON h.pos = s.pos
+"""
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = r"""
+WITH base AS (
+  SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents
+), said AS (
+  SELECT row, lang, source, unnest(w) AS term FROM base
+), kept AS (
+  SELECT lang, term FROM said GROUP BY lang, term HAVING count(DISTINCT row) >= 3
+), groups AS (
+  SELECT DISTINCT lang, source FROM base
+), counts AS (
+  SELECT s.lang, s.source, s.term, count(*) AS n FROM said s JOIN kept k ON k.lang = s.lang AND k.term = s.term GROUP BY s.lang, s.source, s.term
+), dense AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n FROM groups g JOIN kept k ON k.lang = g.lang LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+), shares AS (
+  SELECT *, (1 + 1000000000::HUGEINT * (n + 1) // (sum(n) OVER w + count(*) OVER w))::BIGINT AS p FROM dense WINDOW w AS (PARTITION BY lang, source)
+), langs AS (
+  SELECT lang, term, (1 + 1000000000::HUGEINT * (n + 1) // (sum(n) OVER w + count(*) OVER w))::BIGINT AS q FROM (SELECT lang, term, sum(n) AS n FROM dense GROUP BY lang, term) WINDOW w AS (PARTITION BY lang)
+), pairs AS (
+  SELECT g.lang, g.source, h.source AS item, coalesce(v.value, 0) AS value FROM groups g JOIN groups h ON h.lang = g.lang AND h.source <> g.source LEFT JOIN (
+    SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM shares a JOIN shares b ON b.lang = a.lang AND b.term = a.term AND b.source <> a.source GROUP BY ALL
+  ) v ON v.lang = g.lang AND v.source = g.source AND v.item = h.source
+), terms AS (
+  SELECT s.lang, s.source, s.term AS item, (p - q) * (p - q) // q AS value FROM shares s JOIN langs l ON l.lang = s.lang AND l.term = s.term WHERE n > 0 AND p > q
+), found AS (
+  SELECT lang, source, 'pair' AS part, item, value FROM pairs UNION ALL SELECT lang, source, 'term', item, value FROM terms
+), placed AS (
+  SELECT lang, source, part, item, value::BIGINT AS value, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INTEGER AS rank FROM found
+)
+SELECT * FROM placed WHERE part = 'pair' OR rank <= 200
+""".replace("\\\\", "\\")
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict:
     return {
         "op1_ngram_join": op1_ngram_join,
@@ -191,8 +268,10 @@ def queries() -> dict:
         "op9_sentencepiece": op9_sentencepiece,
         "op10_chroma": op10_chroma,
         "op11_merkle_manifest": op11_merkle_manifest,
+        "op12_source_divergence": op12_source_divergence,
+        "op13_warc": op13_warc,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_join": OP1_SQL, "op2_chat_formatting": OP2_SQL, "op4_suffix_dedup": OP4_SQL, "op7_mixing": OP7_SQL}
+    return {"op1_ngram_join": OP1_SQL, "op2_chat_formatting": OP2_SQL, "op4_suffix_dedup": OP4_SQL, "op7_mixing": OP7_SQL, "op11_merkle_manifest": OP11_SQL, "op12_source_divergence": OP12_SQL}
