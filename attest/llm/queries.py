@@ -255,6 +255,19 @@ def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+OP13_SQL = """
+WITH base AS (
+  SELECT row_number() OVER () AS row, page_id, coalesce(html, '') AS body FROM pages
+), placed AS (
+  SELECT page_id, body, sha1(body) AS h, row_number() OVER w AS n, first_value(page_id) OVER w AS first FROM base WINDOW w AS (PARTITION BY body ORDER BY page_id DESC NULLS LAST, row DESC)
+)
+SELECT page_id, strlen(body)::BIGINT AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(h, i // 8 * 10 + 1, 10))::BIGINT >> (35 - 5 * (i % 8))::INTEGER) & 31), 1)), '') AS payload_digest,
+  CASE WHEN n = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN n > 1 THEN first END AS refers_to
+FROM placed
+"""
+
+
 def queries() -> dict:
     return {
         "op1_ngram_join": op1_ngram_join,
@@ -274,4 +287,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_join": OP1_SQL, "op2_chat_formatting": OP2_SQL, "op4_suffix_dedup": OP4_SQL, "op7_mixing": OP7_SQL, "op11_merkle_manifest": OP11_SQL, "op12_source_divergence": OP12_SQL}
+    return {"op1_ngram_join": OP1_SQL, "op2_chat_formatting": OP2_SQL, "op4_suffix_dedup": OP4_SQL, "op7_mixing": OP7_SQL, "op11_merkle_manifest": OP11_SQL, "op12_source_divergence": OP12_SQL, "op13_warc": OP13_SQL}
