@@ -21,6 +21,8 @@ SLICE = 1 << 16
 SCALE = 1_000_000_000
 #: Distinct terms, or pairs of groups, that a task holds before it passes them on; bytes of padded terms likewise.
 HELD, PADDED = 1 << 18, 1 << 23
+#: Bytes of padded terms that are worth an automaton of their own.
+LEAST_LOAD = 1 << 22
 #: Pairs of postings that are worked on at once.
 PAIRS = 1 << 21
 
@@ -37,8 +39,15 @@ def _strings(values: list[bytes]) -> pa.Array:
     return pa.array(values, pa.binary()).cast(pa.string())
 
 
-def _bucket(term: bytes) -> int:
-    return crc32(term) % BUCKETS
+class _Slices(dict):
+    """The slice of each term, told once."""
+
+    def __init__(self, slices: int):
+        self.slices = slices
+
+    def __missing__(self, term: bytes) -> int:
+        k = self[term] = crc32(term) % BUCKETS % self.slices
+        return k
 
 
 # ---- first pass: document frequencies -----------------------------------------------------
@@ -47,27 +56,26 @@ def _bucket(term: bytes) -> int:
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, term, df, bucket, load): documents with a term, and bytes of terms in each bucket."""
     df: dict[str, Counter] = {}
+    uses: dict[str, Counter] = {}
     load: dict[str, np.ndarray] = {}
-    held = 0
 
     def out() -> Iterator[pa.RecordBatch]:
         for lang, own in df.items():
-            yield _table(lang=pa.array([lang] * len(own), pa.string()), term=_strings(list(own)), df=pa.array(list(own.values()), pa.int64()), bucket=pa.nulls(len(own), pa.int32()), load=pa.nulls(len(own), pa.int64()))
+            names = list(own)
+            at = np.fromiter(map(crc32, names), np.int64, len(names)) % BUCKETS
+            size = np.fromiter(map(len, names), np.int64, len(names)) + 1
+            np.add.at(load.setdefault(lang, np.zeros(BUCKETS, np.int64)), at, size * np.fromiter((uses[lang][x] for x in names), np.int64, len(names)))
+            yield _table(lang=pa.array([lang] * len(names), pa.string()), term=_strings(names), df=pa.array(list(own.values()), pa.int64()), bucket=pa.nulls(len(names), pa.int32()), load=pa.nulls(len(names), pa.int64()))
 
     for batch in batches:
         for lang, text in zip(batch["lang"].to_pylist(), batch["text"]):
             found = terms(text.as_py())
-            own = df.setdefault(lang, Counter())
-            before = len(own)
-            distinct = Counter(found)
-            own.update(distinct.keys())
-            held += len(own) - before
-            sizes = load.setdefault(lang, np.zeros(BUCKETS, np.int64))
-            for term, n in distinct.items():
-                sizes[_bucket(term)] += n * (len(term) + 1)
-        if held > HELD:
+            df.setdefault(lang, Counter()).update(set(found))
+            uses.setdefault(lang, Counter()).update(found)
+        if sum(map(len, df.values())) > HELD:
             yield from out()
-            df, held = {}, 0
+            df.clear()
+            uses.clear()
     yield from out()
     for lang, sizes in load.items():
         own = np.flatnonzero(sizes)
@@ -103,7 +111,7 @@ def _routed(slices: int, spread: dict[tuple[str, int], int]):
                 lang, k, salt, source, padded = zip(*rows)
                 yield _table(lang=pa.array(lang, pa.string()), slice=pa.array(k, pa.int32()), salt=pa.array(salt, pa.int32()), source=pa.array(source, pa.string()), padded=_strings(list(padded)))
 
-        of: dict[bytes, int] = {}
+        of = _Slices(slices)
         for batch in batches:
             for lang, source, text in zip(batch["lang"].to_pylist(), batch["source"].to_pylist(), batch["text"]):
                 own = held.setdefault((lang, source), [[] for _ in range(slices)])
@@ -111,11 +119,11 @@ def _routed(slices: int, spread: dict[tuple[str, int], int]):
                 size += sum(map(len, found)) + len(found)
                 if len(of) > HELD:
                     of.clear()
-                for term in found:
-                    k = of.get(term)
-                    if k is None:
-                        k = of[term] = _bucket(term) % slices
-                    own[k].append(term)
+                if slices == 1:
+                    own[0] += found
+                else:
+                    for k, term in zip(map(of.__getitem__, found), found):
+                        own[k].append(term)
                 if size > PADDED:
                     yield from out()
                     held.clear()
@@ -128,7 +136,7 @@ def _routed(slices: int, spread: dict[tuple[str, int], int]):
 def _recounted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, source, term, n) from rows sorted by (lang, slice, salt), a key's vocabulary first.
 
-    A row with `term` belongs to the vocabulary, one with `padded` is text. An automaton lives
+    A row with `terms` belongs to the vocabulary, one with `padded` is text. An automaton lives
     until the next key comes.
     """
     import ahocorasick
@@ -144,13 +152,13 @@ def _recounted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         keys = zip(batch["lang"].to_pylist(), batch["slice"].to_pylist(), batch["salt"].to_pylist())
-        for now, term, source, padded in zip(keys, batch["term"].to_pylist(), batch["source"].to_pylist(), batch["padded"]):
+        for now, more, source, padded in zip(keys, batch["terms"].to_pylist(), batch["source"].to_pylist(), batch["padded"]):
             if now != key:
                 yield from out()
                 counts.clear()
                 key, words, automaton = now, [], None
-            if term is not None:
-                words.append(term)
+            if more is not None:
+                words += more.split(" ")
                 continue
             if not words:
                 continue
@@ -188,15 +196,17 @@ def postings(docs: DataFrame, kept: DataFrame, loads: DataFrame) -> DataFrame:
     slices = min(BUCKETS, 1 << max(0, -(-most // SLICE) - 1).bit_length())
     width = partitions(spark)
     total = loads.agg(F.sum("load")).first()[0] or 1
-    shares = loads.groupBy("lang", (F.col("bucket") % slices).alias("slice")).agg(F.ceil(F.sum("load") * width / F.lit(float(total))).cast("int").alias("spread"))
+    share = max(total / width, LEAST_LOAD)
+    shares = loads.groupBy("lang", (F.col("bucket") % slices).alias("slice")).agg(F.ceil(F.sum("load") / F.lit(float(share))).cast("int").alias("spread"))
     hot = shares.where("spread > 1")
     # loads sum up to the total, so fewer slices than partitions have more than one share
     spread = {(r["lang"], r["slice"]): r["spread"] for r in hot.collect()}
     wide = spark.createDataFrame([(*k, n) for k, n in spread.items()], "hot_lang string, hot_slice int, spread int")
-    words = kept.withColumn("slice", (F.crc32(F.col("term").cast("binary")) % BUCKETS % slices).cast("int"))
-    words = words.join(F.broadcast(wide), (F.col("lang") == F.col("hot_lang")) & (F.col("slice") == F.col("hot_slice")), "left")
-    words = words.select("lang", "slice", F.explode(F.sequence(F.lit(0), F.coalesce("spread", F.lit(1)) - 1)).alias("salt"), "term", F.lit(None).cast("string").alias("source"), F.lit(None).cast("string").alias("padded"))
-    texts = docs.select("lang", "source", "text").mapInArrow(_routed(slices, spread), "lang string, slice int, salt int, source string, padded string").select("lang", "slice", "salt", F.lit(None).cast("string").alias("term"), "source", "padded")
+    # a row of vocabulary for each bucket: a few dozen to some thousand terms
+    words = kept.groupBy("lang", (F.crc32(F.col("term").cast("binary")) % BUCKETS).cast("int").alias("bucket")).agg(F.array_join(F.collect_list("term"), " ").alias("terms"))
+    words = words.withColumn("slice", F.col("bucket") % slices).join(F.broadcast(wide), (F.col("lang") == F.col("hot_lang")) & (F.col("slice") == F.col("hot_slice")), "left")
+    words = words.select("lang", "slice", F.explode(F.sequence(F.lit(0), F.coalesce("spread", F.lit(1)) - 1)).alias("salt"), "terms", F.lit(None).cast("string").alias("source"), F.lit(None).cast("string").alias("padded"))
+    texts = docs.select("lang", "source", "text").mapInArrow(_routed(slices, spread), "lang string, slice int, salt int, source string, padded string").select("lang", "slice", "salt", F.lit(None).cast("string").alias("terms"), "source", "padded")
     both = words.unionByName(texts).repartition(width, "lang", "slice", "salt").sortWithinPartitions("lang", "slice", "salt", F.col("padded").isNotNull())
     found = both.mapInArrow(_recounted, "lang string, source string, term string, n long")
     return found.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"))
