@@ -37,10 +37,12 @@ def is_checkable_claim(sentence: Column, min_content_tokens: int = 2) -> Column:
 def with_evidence(retrieved: DataFrame, chunks: DataFrame) -> DataFrame:
     """question_id and evidence: its retrieved chunks in order, at most top_k of them.
 
-    Tokens and figures of a chunk are made once for each use as evidence.
+    Tokens are those of an index, where the chunks come from one; they and figures are made for
+    each use as evidence otherwise.
     """
-    row = retrieved.join(chunks.select("chunk_id", "doc_id", "text", "start", "end", "metadata"), "chunk_id")
-    row = row.select("question_id", "rank", "score", "chunk_id", "doc_id", "text", "start", "end", "metadata", F.array_distinct(tokenize(F.col("text"))).alias("tokens"), F.array_distinct(extract_numbers(F.col("text"))).alias("numbers"))
+    known = F.col("tokens") if "tokens" in chunks.columns else tokenize(F.col("text"))
+    row = retrieved.join(chunks, "chunk_id")
+    row = row.select("question_id", "rank", "score", "chunk_id", "doc_id", "text", "start", "end", "metadata", F.array_distinct(known).alias("tokens"), F.array_distinct(extract_numbers(F.col("text"))).alias("numbers"))
     return row.groupBy("question_id").agg(F.sort_array(F.collect_list(F.struct("rank", "score", "chunk_id", "doc_id", "text", "start", "end", F.col("metadata")["source"].alias("source"), "tokens", "numbers"))).alias("evidence"))
 
 

@@ -79,7 +79,7 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bm25_index_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = retrieval.build_index(whole_chunks(spark, sf_dir))
-    return index.terms.select("term", F.col("df").cast("long").alias("df"), F.round("idf", 6).alias("idf"))
+    return index.terms().select("term", F.col("df").cast("long").alias("df"), F.round("idf", 6).alias("idf"))
 
 
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,10 +97,7 @@ def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     of_chunks, of_questions = _vectors(spark, sf_dir)
-    pairs = of_questions.select("question_id", F.col("vector").alias("q")).crossJoin(of_chunks.select("chunk_id", F.col("vector").alias("c")))
-    score = F.round(retrieval.cosine(F.col("q"), F.col("c")), 6)
-    best = Window.partitionBy("question_id").orderBy(F.desc("score"), "chunk_id")
-    return pairs.select("question_id", "chunk_id", score.alias("score")).withColumn("rank", F.row_number().over(best).cast("long")).where("rank <= 4")
+    return retrieval.dense_search(of_chunks, of_questions, 4, 6).select("question_id", "chunk_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
 def hybrid_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
