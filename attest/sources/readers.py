@@ -4,9 +4,11 @@ import json
 import re
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..staging import Stage
+
 #: Endings of files that hold text.
 SUFFIXES = (".txt", ".md", ".markdown", ".rst", ".text")
 DOCUMENTS = "doc_id string, text string, metadata map<string,string>"
@@ -76,8 +78,9 @@ def from_directory(spark: SparkSession, path: str, pattern: str | None = None) -
     if not store.exists(at) or not store.getFileStatus(at).isDirectory():
         raise NotADirectoryError(f"{path} is not a directory")
     root = store.makeQualified(at).toString().rstrip("/") + "/"
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    files = reader.load(path)
+    # files of other kinds are left out of the listing, so that they are never opened
+    any_case = lambda suffix: "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in suffix)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "{" + ",".join("*" + any_case(x) for x in SUFFIXES) + "}").load(path)
     name = F.url_decode(F.regexp_replace(F.col("path"), r"\+", "%2B"))
     # file:/a and file:///a are the same place
     bare = lambda c: F.regexp_replace(c, "^([a-z0-9]+):/+", "$1:/")
@@ -92,13 +95,24 @@ def from_directory(spark: SparkSession, path: str, pattern: str | None = None) -
     return docs
 
 
-def questions_from_file(spark: SparkSession, path: str) -> DataFrame:
-    """question_id (the place in the file) and question; blank lines and # comments are left out."""
+def questions_from_file(spark: SparkSession, path: str, stage: Stage | None = None) -> DataFrame:
+    """question_id (the place in the file) and question; blank lines and # comments are left out.
+
+    The file is read in splits, by many tasks if it is large. A line's number is its place in its
+    split and the lines of the splits before, of which there is one sum for each split.
+    """
+    stage = stage or Stage(spark)
     line = F.regexp_replace("value", r"(?U)^\s+|\s+$", "")
-    rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r\n?|\n")).alias("n", "value")).select("n", line.alias("question")).where("question != '' and not startswith(question, '#')")
-    if rows.isEmpty():
+    rows = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("id"))
+    rows = stage.table(rows, "lines")
+    # lines of a split follow each other in one task
+    splits = rows.groupBy("file", "split").agg(F.count("*").alias("lines"), F.min("id").alias("first"))
+    before = F.coalesce(F.sum("lines").over(Window.orderBy("file", "split").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = rows.join(F.broadcast(splits.withColumn("before", before)), ["file", "split"]).select((F.col("before") + F.col("id") - F.col("first")).alias("n"), line.alias("question"))
+    placed = placed.where("question != '' and not startswith(question, '#')")
+    if placed.isEmpty():
         raise ValueError(f"no questions found in {path}")
-    return rows.select(F.lpad(F.col("n").cast("string"), 9, "0").alias("question_id"), "question")
+    return placed.select(F.lpad(F.col("n").cast("string"), 9, "0").alias("question_id"), "question")
 
 
 def questions_from_list(spark: SparkSession, questions: list[str]) -> DataFrame:
