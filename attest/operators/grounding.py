@@ -29,6 +29,15 @@ class Checker:
                 raise ValueError(f"{name} must be between 0 and 1")
 
 
+def held(rows: DataFrame, **columns: Column) -> DataFrame:
+    """Adds columns that are computed once a row.
+
+    Spark writes a column's expression into every place that names it, also inside the functions
+    of arrays, where it would run again for each element. A generator of one row ends that.
+    """
+    return rows.select("*", F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))).alias("_held")).select(*rows.columns, "_held.*")
+
+
 def is_checkable_claim(sentence: Column, min_content_tokens: int = 2) -> Column:
     """Whether a sentence asserts something: no greeting, no question, and enough content words."""
     return ~normalize(sentence).rlike("(?iU)" + "|".join(NO_CLAIM)) & (F.size(tokenize(sentence)) >= min_content_tokens)
@@ -94,7 +103,15 @@ def check_claims(drafts: DataFrame, evidence: DataFrame, checker: Checker = Chec
     return row.select("question_id", "pos", "claim", supported.alias("supported"), F.col("best").alias("support_score"), "supporting_chunk_ids", "unsupported_numbers", reason.alias("reason"))
 
 
-def relevance(question: Column, answer: Column, evidence: Column) -> Column:
-    """How much of the question's content the answer itself has; 1 for questions without any."""
-    asked = without_figures(tokenize(question))
-    return F.when(F.size(asked) == 0, 1.0).otherwise(coverage(asked, F.array_distinct(tokenize(answer)), evidence_idf(evidence)))
+def with_relevance(rows: DataFrame, question: Column, answer: Column, evidence: Column, name: str = "relevance", where: Column | None = None) -> DataFrame:
+    """Adds how much of the question's content the answer itself has, by rarity in the evidence.
+
+    It is 1 for questions without any content, and 1, without a look at the texts, for rows that
+    `where` leaves out.
+    """
+    wanted = (lambda c: c) if where is None else (lambda c: F.when(where, c))
+    made = F.struct(wanted(without_figures(tokenize(question))).alias("asked"), wanted(F.array_distinct(tokenize(answer))).alias("said"), wanted(evidence_idf(evidence)).alias("idf"))
+    own = held(rows, **{f"_{name}": made})
+    at = F.col(f"_{name}")
+    none = F.coalesce(F.size(at["asked"]) <= 0, F.lit(True))
+    return own.withColumn(name, F.when(none, 1.0).otherwise(coverage(at["asked"], at["said"], at["idf"]))).drop(f"_{name}")

@@ -5,16 +5,17 @@ turns after them the questions and drafts of conversations.
 """
 
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.fixed import NO_CLAIM
 from ..operators import probes, providers, retrieval
 from ..operators.chunking import chunk_documents
-from ..operators.grounding import check_claims, coverage, is_checkable_claim, relevance, with_evidence
+from ..operators.grounding import check_claims, coverage, evidence_idf, held, is_checkable_claim, with_evidence, with_relevance
 from ..sources import readers
 from ..sources.sinks import audit_log
+from ..staging import Stage
 from ..streaming import webhook
 from . import sql
 from .engine import Gate
@@ -47,11 +48,11 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def exchanges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """question_id, question and draft of user turns that an assistant turn follows."""
+    """question_id, question, draft and the turn before of user turns that an assistant turn follows."""
     said = table(spark, sf_dir, "conversations")
     place = Window.partitionBy("conv_id").orderBy("turn")
-    after = said.select("conv_id", "turn", "role", "text", F.lead("role").over(place).alias("next_role"), F.lead("text").over(place).alias("draft"))
-    return after.where("role = 'user' and next_role = 'assistant'").select(F.concat_ws("/", "conv_id", "turn").alias("question_id"), F.col("text").alias("question"), "draft")
+    after = said.select("conv_id", "turn", "role", "text", F.lead("role").over(place).alias("next_role"), F.lead("text").over(place).alias("draft"), F.lag("text").over(place).alias("before"))
+    return after.where("role = 'user' and next_role = 'assistant'").select(F.concat_ws("/", "conv_id", "turn").alias("question_id"), F.col("text").alias("question"), "draft", "before")
 
 
 def normalize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,17 +113,23 @@ def checkable_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     return said.select("question_id", F.col("pos").cast("long").alias("pos"), is_checkable_claim(F.col("sentence")).alias("checkable"))
 
 
+def _turn_evidence() -> Column:
+    """The turn before, the user's and the assistant's: what words are weighed by."""
+    said = [F.struct(F.when(F.col(c).isNotNull(), F.array_distinct(T.tokenize(F.col(c)))).alias("tokens")) for c in ("before", "question", "draft")]
+    return F.filter(F.array(*said), lambda e: e["tokens"].isNotNull())
+
+
 def turn_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How much of each user turn the assistant's reply covers, all words weighing alike."""
-    none = F.array().cast("array<struct<tokens:array<string>>>")
-    return exchanges(spark, sf_dir).select("question_id", F.round(relevance(F.col("question"), F.col("draft"), none), 6).alias("relevance"))
+    """How much of each user turn the assistant's reply covers, by rarity in these and the turn before."""
+    own = held(exchanges(spark, sf_dir), evidence=_turn_evidence())
+    return with_relevance(own, F.col("question"), F.col("draft"), F.col("evidence")).select("question_id", F.round("relevance", 6).alias("relevance"))
 
 
 def turn_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Claim coverage of each assistant turn by its user turn, all words weighing alike."""
-    own = exchanges(spark, sf_dir)
-    none = F.create_map().cast("map<string,double>")
-    return own.select("question_id", F.round(coverage(T.tokenize(F.col("draft")), F.array_distinct(T.tokenize(F.col("question"))), none), 6).alias("coverage"))
+    """Claim coverage of each assistant turn by its user turn, by rarity in these and the turn before."""
+    own = held(exchanges(spark, sf_dir), evidence=_turn_evidence())
+    own = held(own, said=T.tokenize(F.col("draft")), asked=F.array_distinct(T.tokenize(F.col("question"))), idf=evidence_idf(F.col("evidence")))
+    return own.select("question_id", F.round(coverage(F.col("said"), F.col("asked"), F.col("idf")), 6).alias("coverage"))
 
 
 def _gate(spark: SparkSession, sf_dir: str) -> Gate:
@@ -136,7 +143,7 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _conversation_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = exchanges(spark, sf_dir).persist()
+    own = exchanges(spark, sf_dir)
     return _gate(spark, sf_dir).ask(own.select("question_id", "question"), providers.scripted(own.select("question_id", "draft")))
 
 
@@ -156,7 +163,7 @@ def claim_support(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every claim of every benchmark item, held against its best chunks."""
     gate = _gate(spark, sf_dir)
     asked = questions(spark, sf_dir)
-    evidence = with_evidence(gate.retrieve(asked), gate.chunks).persist()
+    evidence = with_evidence(gate.retrieve(asked), gate.chunks)
     return check_claims(asked.withColumnRenamed("question", "draft"), evidence, gate.checker).select("question_id", "pos", "supported", F.round("support_score", 6).alias("support_score"), "supporting_chunk_ids", "unsupported_numbers", "reason")
 
 
@@ -171,8 +178,10 @@ def probe_suite(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def probe_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the gate did on probes from all documents, by kind and over all."""
     gate, suite = _suite(spark, sf_dir)
-    return probes.by_kind(gate.probe(suite))
+    found = probes.tally(gate.probe(suite))
+    return found.select("kind", "correct", "total", F.round("accuracy", 6).alias("accuracy"), "attacks", "leaked", "blocked", F.round("leak_rate", 6).alias("leak_rate"))
 
 
 def _payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -198,8 +207,12 @@ def mask_secret(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def packs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(name, i, line) for name in readers.available_packs() for i, line in enumerate(readers.load_pack(name))]
-    return spark.createDataFrame(rows, "pack string, pos int, statement string")
+    """Statements of all packs, and how many documents share a word with each."""
+    rows = [(f"{name}:{i}", name, i, line) for name in readers.available_packs() for i, line in enumerate(readers.load_pack(name))]
+    stated = spark.createDataFrame(rows, "question_id string, pack string, pos int, question string")
+    index = retrieval.build_index(whole_chunks(spark, sf_dir))
+    near = retrieval.lexical_scores(index, stated.select("question_id", "question"), Stage(spark)).groupBy("question_id").agg(F.count("*").alias("n"))
+    return stated.join(near, "question_id", "left").select("pack", "pos", F.col("question").alias("statement"), F.coalesce("n", F.lit(0)).alias("documents"))
 
 
 def queries() -> dict:
@@ -211,7 +224,7 @@ def queries() -> dict:
 
 
 _RANKED = "SELECT question_id, rank, chunk_id, {score} AS score FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id) AS rank, max(score) OVER (PARTITION BY question_id) AS peak FROM {table}) WHERE rank <= 4 AND score > 0"
-_EXCHANGES = "SELECT conv_id || '/' || turn AS question_id, text AS question, draft FROM (SELECT *, lead(role) OVER w AS next_role, lead(text) OVER w AS draft FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE role = 'user' AND next_role = 'assistant'"
+_EXCHANGES = "SELECT conv_id || '/' || turn AS question_id, text AS question, draft, before FROM (SELECT *, lead(role) OVER w AS next_role, lead(text) OVER w AS draft, lag(text) OVER w AS before FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE role = 'user' AND next_role = 'assistant'"
 
 
 def _plain_sentences(key: str, text: str, source: str) -> str:
@@ -227,8 +240,10 @@ def _plain_sentences(key: str, text: str, source: str) -> str:
 def oracle_sql() -> dict[str, str]:
     bm25 = sql.bm25(DOCS, ITEMS)
     asked = "list_filter({}, lambda t: NOT regexp_matches(t, '[0-9]'))"
-    share = lambda a, b: f"CASE WHEN len({a}) = 0 THEN {{}} ELSE round(len(list_filter({a}, lambda t: list_contains({b}, t))) / len({a})::DOUBLE, 6) END"
-    own = f"SELECT question_id, {asked.format(sql.tokens('question'))} AS q, {sql.tokens('draft')} AS d, {asked.format(sql.tokens('draft'))} AS dl, {sql.tokens('question')} AS qa FROM ({_EXCHANGES})"
+    # words of a turn by rarity in the turn itself, its reply and the turn before
+    weigh = "coalesce(list_sum(list_transform({0}, lambda t: ln(1 + n / (list_contains(qa, t)::INT + list_contains(d, t)::INT + list_contains(p, t)::INT)::DOUBLE))), 0.0::DOUBLE)"
+    share = lambda a, b: f"CASE WHEN len({a}) = 0 THEN {{}} ELSE round({weigh.format(f'list_filter({a}, lambda t: list_contains({b}, t))')} / {weigh.format(a)}, 6) END"
+    own = f"SELECT question_id, {asked.format(sql.tokens('question'))} AS q, {sql.tokens('draft')} AS d, {asked.format(sql.tokens('draft'))} AS dl, {sql.tokens('question')} AS qa, {sql.tokens('before')} AS p, (question IS NOT NULL)::INT + (draft IS NOT NULL)::INT + (before IS NOT NULL)::INT AS n FROM ({_EXCHANGES})"
     vectors = "SELECT b.item_id::VARCHAR AS question_id, e.embedding AS q FROM benchmark b JOIN embeddings e ON e.vec_id = b.item_id"
     cosine = "list_cosine_similarity(q::DOUBLE[], embedding::DOUBLE[])"
     greeting = "|".join(NO_CLAIM).replace("'", "''")
@@ -239,6 +254,10 @@ def oracle_sql() -> dict[str, str]:
     scripted = f"SELECT question_id, coalesce(trim(draft, ' ' || chr(9) || chr(10) || chr(13)), 'INSUFICIENTE') AS draft FROM ({_EXCHANGES}) WHERE question_id IN (SELECT question_id FROM evidence)"
     decided = f"{begun(ITEMS)}, {sql.checks(echoed, _plain_sentences, claim)}, {sql.decisions(ITEMS)}"
     talked = f"SELECT question_id, question FROM ({_EXCHANGES})"
+    suite = sql.suite(_plain_sentences, claim, probes.TEMPLATES, probes.NOTES)
+    probed = "SELECT probe_id AS question_id, question FROM suite"
+    tried = r"SELECT probe_id AS question_id, trim(candidate, ' ' || chr(9) || chr(10) || chr(13)) AS draft FROM suite WHERE probe_id IN (SELECT question_id FROM evidence)"
+    packed = " UNION ALL ".join("SELECT '{0}:{1}' AS question_id, '{0}' AS pack, {1} AS pos, '{2}' AS question".format(n, i, x.replace("'", "''")) for n in readers.available_packs() for i, x in enumerate(readers.load_pack(n)))
     return {
         "normalize_text": f"SELECT doc_id, {sql.normalize('text')} AS normalized FROM documents",
         "tokenize_counts": f"SELECT token, count(*) AS n FROM (SELECT unnest({sql.tokens('text')}) AS token FROM documents) GROUP BY token",
@@ -249,6 +268,8 @@ def oracle_sql() -> dict[str, str]:
         "answers": f"{decided} SELECT * FROM decided",
         "conversation_verdicts": f"{begun(talked)}, {sql.checks(scripted, _plain_sentences, claim)}, {sql.decisions(talked)} SELECT question_id, action, verdict, confidence FROM decided",
         "audit_by_action": f"{decided} SELECT count(*) AS questions, count(*) FILTER (WHERE action = 'answer') AS answered, count(*) FILTER (WHERE action <> 'answer') AS blocked, coalesce(count(*) FILTER (WHERE action <> 'answer') / nullif(count(*), 0)::DOUBLE, 0.0::DOUBLE) AS block_rate FROM decided",
+        "probe_suite": f"WITH RECURSIVE {chunked}, {suite} SELECT * FROM suite",
+        "probe_report": f"WITH RECURSIVE {chunked}, {suite}, {sql.bm25('SELECT chunk_id, text FROM chunked', probed)}, {sql.checks(tried, _plain_sentences, claim)}, {sql.decisions(probed)}, {sql.tally()}",
         "bm25_index_stats": f"WITH {bm25} SELECT term, df, round(idf, 6) AS idf FROM terms",
         "bm25_topk": f"WITH {bm25} {_RANKED.format(score='round(score / peak, 6)', table='scores')}",
         "dense_topk": f"SELECT question_id, chunk_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id) AS rank FROM (SELECT question_id, vec_id::VARCHAR AS chunk_id, round({cosine}, 6) AS score FROM ({vectors}), embeddings)) WHERE rank <= 4",
@@ -264,7 +285,5 @@ blend AS (SELECT coalesce(d.question_id, l.question_id) AS question_id, coalesce
         "webhook_parse": "SELECT event_type AS text, user_id || CASE WHEN event_id % 7 = 0 THEN '@g.us' ELSE '@s.whatsapp.net' END AS sender, 'main' AS instance, event_id::VARCHAR AS message_id, event_type AS sender_name, event_id % 7 = 0 AS is_group, event_id % 7 <> 0 AND trim(event_type) <> '' AS actionable FROM events WHERE event_id % 5 <> 0 AND event_id % 3 <> 1",
         "mask_identifier": "SELECT c_custkey, CASE WHEN length(c_name) <= 4 THEN c_name ELSE repeat('*', length(c_name) - 4) || right(c_name, 4) END || '@s.whatsapp.net' AS masked FROM customer",
         "mask_secret": "SELECT c_custkey, CASE WHEN length(c_custkey::VARCHAR) <= 4 THEN repeat('*', length(c_custkey::VARCHAR)) ELSE repeat('*', length(c_custkey::VARCHAR) - 4) || right(c_custkey::VARCHAR, 4) END AS masked FROM customer",
-        "packs": "SELECT pack, pos, statement FROM (VALUES " + ", ".join("('{}', {}, '{}')".format(n, i, x.replace("'", "''")) for n in readers.available_packs() for i, x in enumerate(readers.load_pack(n))) + ") AS v(pack, pos, statement)",
+        "packs": f"WITH {sql.bm25(DOCS, f'SELECT question_id, question FROM ({packed})')} SELECT p.pack, p.pos::INTEGER AS pos, p.question AS statement, (SELECT count(*) FROM scores s WHERE s.question_id = p.question_id) AS documents FROM ({packed}) p",
     }
-
-
