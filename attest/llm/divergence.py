@@ -21,8 +21,9 @@ SLICE = 1 << 16
 SCALE = 1_000_000_000
 #: Distinct terms, or pairs of groups, that a task holds before it passes them on; bytes of padded terms likewise.
 HELD, PADDED = 1 << 18, 1 << 23
-#: Bytes of padded terms that are worth an automaton of their own.
-LEAST_LOAD = 1 << 22
+#: Bytes of padded terms that are worth an automaton of their own, and of how many documents one is looked at
+#: to tell how the load is spread: that only decides which task counts what.
+LEAST_LOAD, LOOKED_AT = 1 << 22, 8
 #: Pairs of postings that are worked on at once.
 PAIRS = 1 << 21
 
@@ -54,24 +55,27 @@ class _Slices(dict):
 
 
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, term, df, bucket, load): documents with a term, and bytes of terms in each bucket."""
+    """(lang, term, df, bucket, load): documents with a term, and about how many bytes each bucket has."""
     df: dict[str, Counter] = {}
     uses: dict[str, Counter] = {}
     load: dict[str, np.ndarray] = {}
 
     def out() -> Iterator[pa.RecordBatch]:
         for lang, own in df.items():
-            names = list(own)
-            at = np.fromiter(map(crc32, names), np.int64, len(names)) % BUCKETS
-            size = np.fromiter(map(len, names), np.int64, len(names)) + 1
-            np.add.at(load.setdefault(lang, np.zeros(BUCKETS, np.int64)), at, size * np.fromiter((uses[lang][x] for x in names), np.int64, len(names)))
-            yield _table(lang=pa.array([lang] * len(names), pa.string()), term=_strings(names), df=pa.array(list(own.values()), pa.int64()), bucket=pa.nulls(len(names), pa.int32()), load=pa.nulls(len(names), pa.int64()))
+            yield _table(lang=pa.array([lang] * len(own), pa.string()), term=_strings(list(own)), df=pa.array(list(own.values()), pa.int64()), bucket=pa.nulls(len(own), pa.int32()), load=pa.nulls(len(own), pa.int64()))
+        for lang, own in uses.items():
+            sizes = load.setdefault(lang, np.zeros(BUCKETS, np.int64))
+            for term, n in own.items():
+                sizes[crc32(term) % BUCKETS] += LOOKED_AT * n * (len(term) + 1)
 
+    row = 0
     for batch in batches:
         for lang, text in zip(batch["lang"].to_pylist(), batch["text"]):
             found = terms(text.as_py())
             df.setdefault(lang, Counter()).update(set(found))
-            uses.setdefault(lang, Counter()).update(found)
+            if row % LOOKED_AT == 0:
+                uses.setdefault(lang, Counter()).update(found)
+            row += 1
         if sum(map(len, df.values())) > HELD:
             yield from out()
             df.clear()
