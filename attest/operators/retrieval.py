@@ -162,14 +162,14 @@ class Asked:
     """Questions against an index: their terms, and the headers of these terms' blocks."""
 
     def __init__(self, index: Index, questions: DataFrame, stage: Stage):
-        self.index = index
+        self.index, self.stage = index, stage
         own = stage.table(question_terms(questions).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(max(index.buckets, 1))).cast("int")), "asked")
         heads = index.blocks.select("bucket", "term", "segment", "part", "block", "n", "most", "least")
         heads = stage.table(heads.join(own.select("bucket", "term").distinct(), ["bucket", "term"]), "heads")
         frequency = heads.groupBy("bucket", "term").agg(index.idf(F.sum("n")).alias("idf"))
         heads = heads.join(frequency, ["bucket", "term"]).withColumn("bound", index.worth(F.col("idf"), F.col("most"), F.col("least")))
         #: bucket, term, segment, part, block, idf and bound of the blocks of asked terms
-        self.heads = heads.drop("n", "most", "least")
+        self.heads = stage.table(heads.drop("n", "most", "least"), "heads")
         best = self.heads.groupBy("bucket", "term").agg(F.max("bound").alias("top"))
         row = own.join(best, ["bucket", "term"]).withColumn("top", F.col("qtf") * F.col("top"))
         rising = Window.partitionBy("question_id").orderBy("top", "term")
@@ -192,7 +192,8 @@ class Asked:
         first = self.terms.select("question_id", "bucket", "term", "qtf").join(self.heads.where("block = 0"), ["bucket", "term"]).drop("bound")
         sums = self.hits(first).groupBy("question_id", "chunk_id").agg(F.sum("worth").alias("worth"))
         place = F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("worth"), "chunk_id"))
-        return sums.withColumn("place", place).where(F.col("place") <= top_k).groupBy("question_id").agg(F.max("place").alias("places"), F.min("worth").alias("bound")).where(F.col("places") == top_k).select("question_id", "bound")
+        last = sums.withColumn("place", place).where(F.col("place") <= top_k).groupBy("question_id").agg(F.max("place").alias("places"), F.min("worth").alias("bound"))
+        return self.stage.table(last.where(F.col("places") == top_k).select("question_id", "bound"), "bounds")
 
     def above(self, bounds: DataFrame) -> DataFrame:
         """question_id, chunk_id and whole score of all chunks that may reach their question's bound.
@@ -209,6 +210,7 @@ class Asked:
         wanted = wanted.select("question_id", "qtf", "idf", "bucket", "term", "segment", "part", "block")
         sums = self.hits(wanted).groupBy("question_id", "chunk_id").agg(F.sum("worth").alias("worth"))
         able = sums.join(rest, "question_id").where(F.col("worth") + F.col("rest") >= F.col("least")).select("question_id", "chunk_id", "worth")
+        able = self.stage.table(able, "able")
         others = row.where(lesser).join(self.heads.drop("bound"), ["bucket", "term"]).select("question_id", "qtf", "idf", "bucket", "term", "segment", "part", "block")
         more = self.hits(others).join(able.select("question_id", "chunk_id"), ["question_id", "chunk_id"], "left_semi")
         return able.unionByName(more).groupBy("question_id", "chunk_id").agg(F.round(F.sum("worth"), PLACES).alias("score"))
