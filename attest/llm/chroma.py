@@ -170,16 +170,24 @@ def bit_errors(a: np.ndarray, b: np.ndarray, offset: int) -> tuple[int, int]:
 
 
 def classes(prints: DataFrame, key: str) -> DataFrame:
-    """Adds class_id, the smallest key with the same prints; recordings without prints have their own."""
-    digest = F.sha2(F.to_json(F.struct("prints")), 256)
-    own = prints.withColumn("digest", F.when(F.size("prints") > 0, digest))
-    least = own.where("digest is not null").groupBy("digest").agg(F.min(key).alias("class_id"))
-    return own.join(least, "digest", "left").select(key, "prints", F.coalesce("class_id", key).alias("class_id"))
+    """key, prints, class_id and digest: the smallest key with the same prints, and what names them.
+
+    Equal prints are one class; recordings without prints have their own, and no digest. A key
+    that comes with several prints may stand for several classes, which their digests tell apart.
+    Null keys are allowed and stand for a class only where it has no other. Prints are compared
+    by SHA-256; a table without rows gives none.
+    """
+    own = prints.select(F.col(key).alias("_key"), F.col("prints").alias("_prints"))
+    own = own.withColumn("digest", F.when(F.size("_prints") > 0, F.sha2(F.to_json(F.struct("_prints")), 256)))
+    least = own.where("digest is not null").groupBy("digest").agg(F.min("_key").alias("least")).withColumnRenamed("digest", "of")
+    own = own.join(least, F.col("digest") == F.col("of"), "left")
+    return own.select(F.col("_key").alias(key), F.col("_prints").alias("prints"), F.when(F.col("digest").isNull(), F.col("_key")).otherwise(F.col("least")).alias("class_id"), "digest")
 
 
 #: Recordings, and queries, that one task compares at a time.
 BLOCK = 1024
 _FOUND = "query_id long, match_id long, offset int, votes long, bit_error_rate double"
+_NAMED = ["class_id", "digest"]
 
 
 def _blocks(prints: DataFrame, key: str, name: str) -> DataFrame:
@@ -232,11 +240,13 @@ SIGNS = 1 << 21
 
 
 def _compared(prints: DataFrame, key: str, every: int, least_votes: int, most_errors: float, summed: bool) -> DataFrame:
-    """Matches of queries with recordings; summed, a row for each query and block of recordings with its number of matches and the best of them."""
-    held = staged(prints, "prints")
-    reps = held.where((F.col(key) == F.col("class_id")) & (F.size("prints") > 0)).dropDuplicates([key])
-    asked = held.where(F.pmod(F.col(key), F.lit(every)) == 0).select(F.col("class_id").alias("query_id")).distinct()
-    queries = reps.join(asked, F.col(key) == F.col("query_id"), "left_semi")
+    """Matches of queries with recordings; summed, a row for each query and block of recordings with its number of matches and the best of them (by number of class where errors tie)."""
+    held = staged(prints.select(F.col(key).alias("_key"), F.col("prints").alias("_prints"), *_NAMED).where(F.size("_prints") > 0), "prints")
+    # a class is its digest; it gets a number, as keys may come again
+    asked = F.max(F.coalesce(F.pmod("_key", F.lit(every)) == 0, F.lit(False)))
+    reps = held.groupBy(*_NAMED).agg(asked.alias("asked"), F.any_value("_prints").alias("prints")).withColumn("number", F.monotonically_increasing_id())
+    reps = staged(reps, "reps")
+    queries = reps.where("asked")
 
     def unpacked(batch, first: int, i: int):
         keys, sizes, every = (np.frombuffer(batch.column(first + c)[i].as_buffer(), kind) for c, kind in enumerate(("<i8", "<i8", "<u4")))
@@ -264,20 +274,23 @@ def _compared(prints: DataFrame, key: str, every: int, least_votes: int, most_er
                             names = ["query_id", "match_id", "offset", "votes", "bit_error_rate", "n_links"][: len(hits)]
                             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(h)) for h in hits], names)
 
-    pairs = staged(_blocks(queries, key, "query"), "queries").crossJoin(staged(_blocks(reps, key, "other"), "others"))
-    return pairs.repartition(partitions(held.sparkSession)).mapInArrow(each, _FOUND + ", n_links long" * summed)
+    pairs = staged(_blocks(queries, "number", "query"), "queries").crossJoin(staged(_blocks(reps, "number", "other"), "others"))
+    found = pairs.repartition(partitions(held.sparkSession)).mapInArrow(each, _FOUND + ", n_links long" * summed)
+    named = lambda n, c: reps.select(F.col("number").alias(n), F.col("class_id").alias(c), F.col("digest").alias(c.replace("_id", "_digest")))
+    found = found.withColumnsRenamed({"query_id": "query_n", "match_id": "match_n"})
+    return found.join(named("query_n", "query_id"), "query_n").join(named("match_n", "match_id"), "match_n").drop("query_n", "match_n")
 
 
 def best_alignments(prints: DataFrame, key: str, every: int = 50, least_votes: int = 4, most_errors: float = 0.25) -> DataFrame:
-    """query_id, n_links (classes that align with it) and the best of them, for every query that has any.
+    """query_id, query_digest, n_links (classes that align with it) and the best of them, for every query that has any.
 
     Queries and matches are those of `aligned`; best is the one with the least errors, then the
     smallest key. Each task sums up its blocks, so that matches, which grow with queries times
     recordings, do not travel.
     """
     found = _compared(prints, key, every, least_votes, most_errors, True)
-    best = F.min_by(F.struct("match_id", "offset", "votes", "bit_error_rate"), F.struct("bit_error_rate", "match_id")).alias("best")
-    return found.groupBy("query_id").agg(F.sum("n_links").alias("n_links"), best).select("query_id", "n_links", "best.*")
+    best = F.min_by(F.struct("match_id", "offset", "votes", "bit_error_rate"), F.struct("bit_error_rate", "match_id", "match_digest")).alias("best")
+    return found.groupBy("query_id", "query_digest").agg(F.sum("n_links").alias("n_links"), best).select("query_id", "query_digest", "n_links", "best.*")
 
 
 def aligned(prints: DataFrame, key: str, every: int = 50, least_votes: int = 4, most_errors: float = 0.25) -> DataFrame:
@@ -293,6 +306,7 @@ def aligned(prints: DataFrame, key: str, every: int = 50, least_votes: int = 4,
     Nothing is left out by an index, as bits with so many errors leave few integers, or bytes,
     equal: the work is queries times recordings times the product of their lengths.
 
-    Returns query_id, match_id, offset, votes, bit_error_rate.
+    Returns query_id, match_id, offset, votes, bit_error_rate, query_digest and match_digest;
+    classes that share a least key are told apart by the digests. prints comes from `classes`.
     """
     return _compared(prints, key, every, least_votes, most_errors, False)

@@ -124,8 +124,8 @@ def op10_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
     prints = staged(chroma.fingerprints(media, "vec_id", "audio"), "prints")
     known = staged(chroma.classes(prints, "vec_id"), "classes")
     found = chroma.best_alignments(known, "vec_id")
-    row = known.select("vec_id", "class_id", F.size("prints").cast("long").alias("n_prints"))
-    return row.join(found, F.col("class_id") == F.col("query_id"), "left").drop("query_id")
+    row = known.select("vec_id", "class_id", "digest", F.size("prints").cast("long").alias("n_prints"))
+    return row.join(found, F.col("digest") == F.col("query_digest"), "left").drop("query_id", "digest", "query_digest")
 
 
 OP7_SQL = r"""

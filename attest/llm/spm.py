@@ -225,19 +225,20 @@ class Codec:
         return self.tokenizer.decode_batch(lists, skip_special_tokens=False)
 
 
-_CODECS: dict[bytes, Codec] = {}
+_CODECS: dict[tuple[str, int], Codec] = {}
 
 
 def codec(held: bytes, threads: int = 1) -> Codec:
-    import zlib
+    """The codec of a model, made once in a worker for each number of threads."""
+    import hashlib
 
-    key = zlib.crc32(held).to_bytes(4, "little") + held[:64]
+    key = hashlib.sha256(held).hexdigest(), threads
     if key not in _CODECS:
         _CODECS[key] = Codec(held, threads)
     return _CODECS[key]
 
 
-def pieces(docs: DataFrame, model_path: str, every: int = 50) -> DataFrame:
+def pieces(docs: DataFrame, model_path: str, every: int = 50, threads: int | None = None) -> DataFrame:
     """Piece ids of every whole text, decoded again and held against sentencepiece.
 
     Returns doc_id, ids (little-endian integers of two bytes, or of four for vocabularies above
@@ -246,7 +247,8 @@ def pieces(docs: DataFrame, model_path: str, every: int = 50) -> DataFrame:
     sentencepiece library gives the same ids: compared whole for texts whose doc_id is divisible
     by `every` or which cannot be cut into words, word by word for the rest). Null texts are
     empty; repeated rows stay; other columns are ignored; an empty table gives no rows. The model
-    is read on the driver: its size does not depend on the data.
+    is read on the driver: its size does not depend on the data. A task encodes its batches with
+    `threads` threads, by default as many as `spark.task.cpus` gives it.
     """
     import zlib
 
@@ -256,7 +258,7 @@ def pieces(docs: DataFrame, model_path: str, every: int = 50) -> DataFrame:
     ship(spark)
     with open(model_path, "rb") as file:
         held = file.read()
-    threads = int(spark.conf.get("spark.task.cpus", "1"))
+    threads = threads or int(spark.conf.get("spark.task.cpus", "1"))
 
     def each(batches):
         own = codec(held, threads)
