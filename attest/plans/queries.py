@@ -264,6 +264,7 @@ def oracle_sql() -> dict[str, str]:
         "sentence_split": f"SELECT doc_id, (generate_subscripts(sentences, 1) - 1)::INTEGER AS pos, unnest(sentences) AS sentence FROM ({_plain_sentences('doc_id', 'text', 'SELECT * FROM documents')})",
         "extract_numbers": f"SELECT doc_id, (generate_subscripts(numbers, 1) - 1)::INTEGER AS pos, unnest(numbers) AS number FROM (SELECT doc_id, {sql.figures('text')} AS numbers FROM documents)",
         "chunks": f"WITH RECURSIVE {chunked} SELECT chunk_id, doc_id, start, \"end\", sha256(text) AS text_sha256 FROM chunked",
+        "audit_lines": f"{decided}, {sql.audit()}",
         "claim_support": f"{begun(ITEMS)}, {sql.checks('SELECT question_id, question AS draft FROM (' + ITEMS + ')', _plain_sentences, claim)} SELECT question_id, pos::INTEGER AS pos, supported, round(support_score, 6) AS support_score, supporting_chunk_ids, unsupported_numbers, reason FROM checked",
         "answers": f"{decided} SELECT * FROM decided",
         "conversation_verdicts": f"{begun(talked)}, {sql.checks(scripted, _plain_sentences, claim)}, {sql.decisions(talked)} SELECT question_id, action, verdict, confidence FROM decided",
