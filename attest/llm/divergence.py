@@ -20,12 +20,12 @@ BUCKETS = 1 << 12
 SLICE = 1 << 16
 SCALE = 1_000_000_000
 #: Distinct terms, or pairs of groups, that a task holds before it passes them on; bytes of padded terms likewise.
-HELD, PADDED = 1 << 18, 1 << 23
+HELD, PADDED = 1 << 18, 1 << 21
 #: Bytes of padded terms that are worth an automaton of their own, and of how many documents one is looked at
 #: to tell how the load is spread: that only decides which task counts what.
 LEAST_LOAD, LOOKED_AT = 1 << 22, 8
 #: Pairs of postings that are worked on at once.
-PAIRS = 1 << 21
+PAIRS = 1 << 18
 
 
 def terms(text: str | None) -> list[bytes]:
@@ -121,7 +121,7 @@ def _routed(slices: int, spread: dict[tuple[str, int], int]):
                 own = held.setdefault((lang, source), [[] for _ in range(slices)])
                 found = terms(text.as_py())
                 size += sum(map(len, found)) + len(found)
-                if len(of) > HELD:
+                if len(of) > HELD // 2:
                     of.clear()
                 if slices == 1:
                     own[0] += found
