@@ -29,6 +29,18 @@ class Checker:
                 raise ValueError(f"{name} must be between 0 and 1")
 
 
+def two_places(x: Column) -> Column:
+    """A share from 0 to 1 as text with two places, rounded as the double that it is, ties to even.
+
+    Java's formatter rounds the digits that it would print, ties up: 0.125 would become 0.13.
+    """
+    whole, one = F.lit(1 << 60).cast("decimal(20,0)"), (x * float(1 << 60)).cast("long").cast("decimal(20,0)") * 100
+    n = F.call_function("div", one, whole)
+    rest = (one - n * whole) * 2
+    n = n + F.when((rest > whole) | ((rest == whole) & (n % 2 == 1)), 1).otherwise(0)
+    return F.concat(F.floor(n / 100).cast("string"), F.lit("."), F.lpad((n % 100).cast("string"), 2, "0"))
+
+
 def held(rows: DataFrame, **columns: Column) -> DataFrame:
     """Adds columns that are computed once a row.
 
@@ -99,7 +111,7 @@ def check_claims(drafts: DataFrame, evidence: DataFrame, checker: Checker = Chec
     row = row.select("question_id", "pos", "claim", "best", "threshold", missing.alias("unsupported_numbers"), support.alias("supporting_chunk_ids"))
     numeric = F.size("unsupported_numbers") > 0
     supported = ~numeric & (F.size("supporting_chunk_ids") > 0)
-    reason = F.when(numeric, F.concat(F.lit("numbers not present in any relevant source: "), F.array_join("unsupported_numbers", ", "))).when(supported, "").otherwise(F.format_string("lexical support %.2f < %.2f", "best", "threshold"))
+    reason = F.when(numeric, F.concat(F.lit("numbers not present in any relevant source: "), F.array_join("unsupported_numbers", ", "))).when(supported, "").otherwise(F.concat(F.lit("lexical support "), two_places(F.col("best")), F.lit(" < "), two_places(F.col("threshold"))))
     return row.select("question_id", "pos", "claim", supported.alias("supported"), F.col("best").alias("support_score"), "supporting_chunk_ids", "unsupported_numbers", reason.alias("reason"))
 
 

@@ -12,8 +12,9 @@ from ..functions import text as T
 from ..functions.fixed import NO_CLAIM
 from ..operators import probes, providers, retrieval
 from ..operators.chunking import chunk_documents
-from ..operators.grounding import check_claims, coverage, evidence_idf, held, is_checkable_claim, with_evidence, with_relevance
-from ..sources import readers
+from ..operators.decide import Policy
+from ..operators.grounding import Checker, check_claims, coverage, evidence_idf, held, is_checkable_claim, with_evidence, with_relevance
+from ..sources import readers, sinks
 from ..sources.sinks import audit_log
 from ..staging import Stage
 from ..streaming import webhook
@@ -167,6 +168,53 @@ def claim_support(spark: SparkSession, sf_dir: str) -> DataFrame:
     return check_claims(asked.withColumnRenamed("question", "draft"), evidence, gate.checker).select("question_id", "pos", "supported", F.round("support_score", 6).alias("support_score"), "supporting_chunk_ids", "unsupported_numbers", "reason")
 
 
+def strict_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations under another policy and another checker: higher bars, refusals instead of escalations."""
+    policy = Policy(min_retrieval_score=0.5, max_unsupported_claims=1, min_relevance=0.6, escalate_to_human=False)
+    checker = Checker(support_threshold=0.8, hedged_threshold=0.7, numeric_scope_threshold=0.5)
+    own = exchanges(spark, sf_dir)
+    gate = Gate.from_documents(documents(spark, sf_dir), policy=policy, checker=checker)
+    found = gate.ask(own.select("question_id", "question"), providers.scripted(own.select("question_id", "draft")))
+    return found.select("question_id", "action", "verdict", F.round("confidence", 4).alias("confidence"))
+
+
+def handoff_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a person would read who takes over a conversation."""
+    return _conversation_answers(spark, sf_dir).select("question_id", sinks.handoff_note().alias("note"))
+
+
+def webhook_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """User turns as messages, some of groups, and what is sent to each, with sources and handoffs."""
+    own = exchanges(spark, sf_dir)
+    group = F.split("question_id", "/")[0].cast("long") % 7 == 0
+    messages = own.select(F.col("question").alias("text"), F.concat(F.col("question_id"), F.when(group, "@g.us").otherwise("@s.whatsapp.net")).alias("sender"), F.lit("main").alias("instance"), F.col("question_id").alias("message_id"), F.lit("").alias("sender_name"), group.alias("is_group"))
+    found = webhook.replies(messages, _conversation_answers(spark, sf_dir), True, True)
+    return found.select("message_id", "action", "text_out", "handoff")
+
+
+def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a model would be asked for every benchmark item."""
+    gate, asked = _gate(spark, sf_dir), questions(spark, sf_dir)
+    return providers.prompts(asked, with_evidence(gate.retrieve(asked), gate.chunks)).select("question_id", "prompt")
+
+
+def questions_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items as lines of files, in order, read back as questions."""
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.regexp_replace(F.coalesce("text", F.lit("")), r"[\r\n]+", " ").alias("value"))
+    stage = Stage(spark)
+    sinks.write_ordered(items, "item_id", f"{stage.path}/questions")
+    return readers.questions_from_file(spark, f"{stage.path}/questions", stage)
+
+
+def embedded_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best chunks by words and by vectors that an embedder makes: counts of some letters."""
+    count = lambda c: (F.length("text") - F.length(F.replace("text", F.lit(c), F.lit("")))).cast("double")
+    embedder = lambda rows: rows.select("id", F.array(F.lit(1.0), *map(count, "aent")).alias("vector"))
+    gate = Gate.from_documents(documents(spark, sf_dir), embedder=embedder)
+    found = gate.retrieve(questions(spark, sf_dir))
+    return found.select("question_id", F.col("rank").cast("long").alias("rank"), "chunk_id", F.round("score", 5).alias("score"))
+
+
 def _suite(spark: SparkSession, sf_dir: str) -> tuple[Gate, DataFrame]:
     """Probes from all documents, against the gate of all documents."""
     gate = _gate(spark, sf_dir)
@@ -197,6 +245,23 @@ def webhook_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return webhook.parse_webhook(_payloads(spark, sf_dir)).withColumn("actionable", webhook.is_actionable())
 
 
+def webhook_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as messages of every shape, some in lists, and the text that is read from each."""
+    places = ["conversation", "extendedTextMessage.text", "imageMessage.caption", "videoMessage.caption", "documentMessage.caption", "buttonsResponseMessage.selectedDisplayText", "listResponseMessage.title", "stickerMessage.url"]
+    own = table(spark, sf_dir, "events").withColumn("text", F.concat_ws(" ", "event_type", F.col("event_id").cast("string")))
+
+    def shaped(place: str) -> Column:
+        inner = F.col("text")
+        for name in reversed(place.split(".")):
+            inner = F.struct(inner.alias(name))
+        return F.to_json(inner)
+
+    message = F.coalesce(*[F.when(F.col("event_id") % 8 == i, shaped(p)) for i, p in enumerate(places)])
+    data = F.concat(F.lit('{"key":{"remoteJid":"1@s.whatsapp.net","id":"'), F.col("event_id").cast("string"), F.lit('"},"message":'), message, F.lit("}"))
+    body = F.concat(F.lit('{"event":"MESSAGES_UPSERT","data":'), F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("["), data, F.lit("]"))).otherwise(data), F.lit("}"))
+    return webhook.parse_webhook(own.select(body.alias("value"))).select("message_id", "text", webhook.is_actionable().alias("actionable"))
+
+
 def mask_identifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     jid = F.concat("c_name", F.lit("@s.whatsapp.net"))
     return table(spark, sf_dir, "customer").select("c_custkey", webhook.mask_identifier(jid).alias("masked"))
@@ -218,7 +283,7 @@ def packs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     names = (
         "normalize_text tokenize_counts sentence_split extract_numbers chunks bm25_index_stats bm25_topk dense_topk hybrid_topk checkable_claims turn_relevance turn_coverage "
-        "claim_support answers conversation_verdicts audit_by_action audit_lines probe_suite probe_report webhook_parse mask_identifier mask_secret packs"
+        "claim_support answers prompts conversation_verdicts strict_verdicts handoff_notes webhook_replies webhook_shapes questions_file embedded_topk audit_by_action audit_lines probe_suite probe_report webhook_parse mask_identifier mask_secret packs"
     ).split()
     return {name: globals()[name] for name in names}
 
@@ -254,6 +319,9 @@ def oracle_sql() -> dict[str, str]:
     scripted = f"SELECT question_id, coalesce(trim(draft, ' ' || chr(9) || chr(10) || chr(13)), 'INSUFICIENTE') AS draft FROM ({_EXCHANGES}) WHERE question_id IN (SELECT question_id FROM evidence)"
     decided = f"{begun(ITEMS)}, {sql.checks(echoed, _plain_sentences, claim)}, {sql.decisions(ITEMS)}"
     talked = f"SELECT question_id, question FROM ({_EXCHANGES})"
+    conversed = f"{begun(talked)}, {sql.checks(scripted, _plain_sentences, claim)}, {sql.decisions(talked)}"
+    sent = f"SELECT question_id AS message_id, question AS text, question_id || CASE WHEN split_part(question_id, '/', 1)::BIGINT % 7 = 0 THEN '@g.us' ELSE '@s.whatsapp.net' END AS sender FROM ({_EXCHANGES})"
+    letters = "[1.0::DOUBLE, " + ", ".join(f"(length({{0}}) - length(replace({{0}}, '{c}', '')))::DOUBLE" for c in "aent") + "]"
     suite = sql.suite(_plain_sentences, claim, probes.TEMPLATES, probes.NOTES)
     probed = "SELECT probe_id AS question_id, question FROM suite"
     tried = r"SELECT probe_id AS question_id, trim(candidate, ' ' || chr(9) || chr(10) || chr(13)) AS draft FROM suite WHERE probe_id IN (SELECT question_id FROM evidence)"
@@ -264,6 +332,17 @@ def oracle_sql() -> dict[str, str]:
         "sentence_split": f"SELECT doc_id, (generate_subscripts(sentences, 1) - 1)::INTEGER AS pos, unnest(sentences) AS sentence FROM ({_plain_sentences('doc_id', 'text', 'SELECT * FROM documents')})",
         "extract_numbers": f"SELECT doc_id, (generate_subscripts(numbers, 1) - 1)::INTEGER AS pos, unnest(numbers) AS number FROM (SELECT doc_id, {sql.figures('text')} AS numbers FROM documents)",
         "chunks": f"WITH RECURSIVE {chunked} SELECT chunk_id, doc_id, start, \"end\", sha256(text) AS text_sha256 FROM chunked",
+        "prompts": f"{begun(ITEMS)}, {sql.checks(echoed, _plain_sentences, claim)} {sql.prompts(ITEMS)}",
+        "strict_verdicts": f"{begun(talked)}, {sql.checks(scripted, _plain_sentences, claim, 4, 0.8, 0.7, 0.5)}, {sql.decisions(talked, 0.5, 0.6, 1, 'refuse')} SELECT question_id, action, verdict, confidence FROM decided",
+        "handoff_notes": f"{conversed}, {sql.notes()}",
+        "webhook_replies": f"{conversed}, {sql.replies(sent)}",
+        "webhook_shapes": "SELECT event_id::VARCHAR AS message_id, CASE WHEN event_id % 8 = 7 THEN '' ELSE event_type || ' ' || event_id END AS text, event_id % 8 <> 7 AS actionable FROM events",
+        "questions_file": r"SELECT question_id, question FROM (SELECT lpad((row_number() OVER (ORDER BY item_id) - 1)::VARCHAR, 9, '0') AS question_id, trim(regexp_replace(coalesce(text, ''), '[\r\n]+', ' ', 'g'), ' ' || chr(9)) AS question FROM benchmark) WHERE question <> '' AND NOT starts_with(question, '#')",
+        "embedded_topk": f"""WITH RECURSIVE {chunked}, {sql.bm25('SELECT chunk_id, text FROM chunked', ITEMS)},
+peaks AS (SELECT question_id, max(score) AS peak FROM scores GROUP BY question_id),
+dense AS (SELECT question_id, chunk_id, greatest(list_cosine_similarity({letters.format('question')}, {letters.format('text')}), 0) AS dense FROM ({ITEMS}), chunked),
+blend AS (SELECT d.question_id, d.chunk_id, round(0.65::DOUBLE * coalesce(s.score / p.peak, 0) + 0.35::DOUBLE * dense, 9) AS score FROM dense d LEFT JOIN scores s ON s.question_id = d.question_id AND s.chunk_id = d.chunk_id LEFT JOIN peaks p ON p.question_id = d.question_id)
+{_RANKED.format(score='round(score, 5)', table='blend')}""",
         "audit_lines": f"{decided}, {sql.audit()}",
         "claim_support": f"{begun(ITEMS)}, {sql.checks('SELECT question_id, question AS draft FROM (' + ITEMS + ')', _plain_sentences, claim)} SELECT question_id, pos::INTEGER AS pos, supported, round(support_score, 6) AS support_score, supporting_chunk_ids, unsupported_numbers, reason FROM checked",
         "answers": f"{decided} SELECT * FROM decided",
