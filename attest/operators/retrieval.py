@@ -102,7 +102,8 @@ class Index:
         own.write.option("compression", "zstd").parquet(at[0])
         own = spark.read.schema(own.schema).parquet(at[0])
         row = own.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("tokens")), F.lit(0)).alias("tokens")).first()
-        buckets = self.buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        # folders that terms are dealt to: few for a small knowledge base, whatever comes later
+        buckets = self.buckets or min(int(spark.conf.get("spark.sql.shuffle.partitions")), max(8, row["tokens"] // 100_000))
         try:
             if self.segments and not own.select("chunk_id").join(self.chunks.select("chunk_id"), "chunk_id", "left_semi").isEmpty():
                 raise ValueError("the index has some of these chunks already")

@@ -259,7 +259,8 @@ def webhook_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     message = F.coalesce(*[F.when(F.col("event_id") % 8 == i, shaped(p)) for i, p in enumerate(places)])
     data = F.concat(F.lit('{"key":{"remoteJid":"1@s.whatsapp.net","id":"'), F.col("event_id").cast("string"), F.lit('"},"message":'), message, F.lit("}"))
     body = F.concat(F.lit('{"event":"MESSAGES_UPSERT","data":'), F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("["), data, F.lit("]"))).otherwise(data), F.lit("}"))
-    return webhook.parse_webhook(own.select(body.alias("value"))).select("message_id", "text", webhook.is_actionable().alias("actionable"))
+    # made once a row: generated code that writes and parses it in one piece grows too large
+    return webhook.parse_webhook(held(own.select("event_id", "text"), value=body).select("value")).select("message_id", "text", webhook.is_actionable().alias("actionable"))
 
 
 def mask_identifier(spark: SparkSession, sf_dir: str) -> DataFrame:
