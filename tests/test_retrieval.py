@@ -115,6 +115,27 @@ def test_only_blocks_of_asked_terms_are_exploded(spark):
         assert retrieval.search(index, one.limit(0), 3, stage=stage).count() == 0
 
 
+def test_many_questions_make_no_row_for_a_question_and_a_chunk(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "BLOCK", 8)
+    monkeypatch.setattr(retrieval, "PART", 150)
+    monkeypatch.setattr(retrieval, "PACKET", 500)
+    rows = corpus(400)
+    rows += [(f"copy {r[0]}", *r[1:]) for r in rows[:40]]
+    index = retrieval.build_index(spark.createDataFrame(rows[:300], CHUNK)).extend(spark.createDataFrame(rows[300:], CHUNK))
+    questions = asked(spark, index)
+    tokens, terms = terms_of(index, questions)
+    monkeypatch.setattr(retrieval, "FEW_TERMS", 0)
+    monkeypatch.setattr(retrieval, "ASKED_TERMS", 40)
+    monkeypatch.setattr(retrieval.Asked, "hits", lambda self, wanted: pytest.fail("a row for a question and a chunk"))
+    with Stage(spark) as stage:
+        for k in (1, 3, 1000):
+            assert got(retrieval.search(index, questions, k, stage=stage)) == best(plain(tokens, terms), k)
+        assert retrieval.search(index, questions.limit(0), 3, stage=stage).count() == 0
+        empty = retrieval.build_index(spark.createDataFrame([], CHUNK))
+        assert retrieval.search(empty, questions, 3, stage=stage).count() == 0
+    index.close()
+
+
 def test_blend(spark, monkeypatch):
     monkeypatch.setattr(retrieval, "BLOCK", 8)
     monkeypatch.setattr(retrieval, "KNOWN", 37)
