@@ -89,6 +89,24 @@ def test_groups_of_edited_passages_against_all_pairs(spark):
     assert len(set(up)) < 2 * 24 < len(up)
 
 
+def test_chains_of_edited_passages_against_all_pairs(spark):
+    """Each passage of a chain is alike to the next one only, while all share cells: no link of a chain may be lost."""
+    rng = random.Random(21)
+    some = lambda n: [f"w{rng.randrange(10**6):06}" for _ in range(n)]
+    passages, want = [], []
+    for _ in range(60):
+        p, first = some(60), len(passages)
+        for place in (None, 15, 20, 25, 30, 35, 40, 45):
+            p = list(p)
+            if place:
+                p[place] = some(1)[0]
+            passages.append(p)
+            want.append(first)
+    docs = spark.createDataFrame([(i, " ".join(some(55) + p + some(55))) for i, p in enumerate(passages)], "doc_id long, text string").repartition(4)
+    rows = {r["doc_id"]: r for r in substrings.passages(docs).collect()}
+    assert [rows[i]["class_id"] for i in range(len(passages))] == want
+
+
 def test_threads_change_nothing(spark):
     rng = random.Random(1)
     rows = [(i, " ".join("".join(rng.choice("abcdeé ") for _ in range(rng.randint(1, 9))) for _ in range(rng.randint(0, 60)))) for i in range(150)]
