@@ -1,5 +1,6 @@
 import random
 
+import corpus_pipeline
 from pyspark.sql import functions as F
 
 from attest.llm import ngram_join
@@ -28,3 +29,21 @@ def test_copies_send_their_tokens_once(spark, monkeypatch):
     found = {r["doc_id"]: r["component_id"] for r in ngram_join.near_components(docs, 4, "0.85").collect()}
     assert found == {i: 0 if i % 1000 == 30 else i % 1000 for i, _ in rows}
     assert sum(size.values()) < sum(len(t) for _, t in rows)
+
+
+def test_stage_of_the_pipeline_stages_less_than_its_texts(spark, monkeypatch):
+    rng = random.Random(6)
+    texts = [" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(300)) for _ in range(8)]
+    rows = [(100 * copy + i, t) for copy in range(16) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartitionByRange(16, "doc_id")
+    staged, size = ngram_join.staged, []
+
+    def counted(df, name):
+        out = staged(df, name)
+        held = [F.coalesce(F.length(c), F.lit(0)) for c, kind in out.dtypes if kind == "binary"]
+        size.append(out.agg(F.sum(sum(held, F.lit(0)))).first()[0] or 0)
+        return out
+
+    monkeypatch.setattr(ngram_join, "staged", counted)
+    assert sorted(map(tuple, corpus_pipeline.one_of_each(spark, docs, "").collect())) == list(enumerate(texts))
+    assert sum(size) < sum(len(t) for _, t in rows)
