@@ -6,10 +6,11 @@ byte holds four two-bit lengths (1 to 4 bytes); the data bytes hold the ranks, l
 Part files are in ascending document order, and so are the rows within each.
 """
 
+import gc
 import re
 from array import array
 from itertools import compress, repeat
-from operator import is_
+from operator import is_, ne
 
 import numpy as np
 import pyarrow as pa
@@ -24,10 +25,17 @@ LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1
 ROWS_AT_ONCE = 256
 #: Entries of each of the two generations of a worker's cache of encoded words.
 CACHE_ENTRIES = 700_000
+#: New words that are encoded as one text.
+WORDS_AT_ONCE = 512
 #: White space of any kind, so that a blank beside it never separates two words.
 _SPACE = "\\s\\x1c-\\x1f\\x85\\xa0\\u1680\\u180e\\u2000-\\u200b\\u2028\\u2029\\u202f\\u205f\\u3000\\ufeff"
-_EDGE = re.compile(f"^$|^[{_SPACE}]|[{_SPACE}]$")
+_BLANKS = "".join(c for c in map(chr, range(1 << 16)) if re.match(f"[{_SPACE}]", c))
 _SAFE = re.compile(f"(?<=[^{_SPACE}]) (?=[^{_SPACE}])")
+#: Letters of which all versions of Unicode say so; a word of them, with stops behind it, and what follows a line's end.
+_LATIN = "[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f]+"
+_STOPS = r"[!-&(-/:-@\[-`{-~]*"
+_LETTERS = re.compile(_LATIN)
+_PIECES = re.compile(f"({_LATIN})({_STOPS})(?:\n({_LATIN})({_STOPS}))?")
 #: Comes before a word that starts a text, in the cache's keys.
 _FIRST = "\0"
 _LOADED: dict[str, "_Encoder"] = {}
@@ -54,45 +62,106 @@ class _Encoder:
         before = kind.get("pre_tokenizer") or {}
         #: Whether the tokenizer is of the kind for which the cuts hold.
         self.cuts = kind.get("normalizer") is None and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
+        #: Whether an id's token begins with a blank, which only the first token of a word that follows a blank does.
+        self.begins = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.begins[[i for token, i in self.tokenizer.get_vocab().items() if token.startswith("\u0120")]] = True
+        #: The same model for pieces that are cut already, given in the symbols that stand for bytes.
+        self.bare = None
+        if self.cuts and kind.get("model", {}).get("type") == "BPE":
+            self.bare = Tokenizer.from_str(json.dumps(kind | {"pre_tokenizer": {"type": "CharDelimiterSplit", "delimiter": " "}, "added_tokens": [], "post_processor": None}))
+        own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        self.symbols = {x: chr(256 + i) for i, x in enumerate(sorted(set(range(256)).difference(own)))}
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def plain(self, texts: list[str]) -> list[bytes]:
+    def ids(self, tokenizer, pieces: list[str]) -> bytes:
+        """The ids of pieces, end to end."""
+        return b"".join(self.plain([" ".join(pieces[i : i + WORDS_AT_ONCE]) for i in range(0, len(pieces), WORDS_AT_ONCE)], tokenizer))
+
+    def plain(self, texts: list[str], tokenizer=None) -> list[bytes]:
         kind = "H" if self.dtype == "<u2" else "I"
-        return [array(kind, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array(kind, e.ids).tobytes() for e in (tokenizer or self.tokenizer).encode_batch_fast(texts, add_special_tokens=False)]
+
+    def parted(self, held: bytes) -> list[bytes]:
+        """Ids of words that follow blanks, cut where a token begins with a blank."""
+        at = (np.flatnonzero(self.begins[np.frombuffer(held, self.dtype)]) * np.dtype(self.dtype).itemsize).tolist()
+        return [held[a:b] for a, b in zip(at, [*at[1:], len(held)], strict=True)] if at and at[0] == 0 else []
+
+    def words(self, words: list[str]) -> list[bytes]:
+        """The ids of each word with a blank before it; many words are one text."""
+        out = []
+        asked = [words[i : i + WORDS_AT_ONCE] for i in range(0, len(words), WORDS_AT_ONCE)]
+        for part, held in zip(asked, self.plain([" " + " ".join(p) for p in asked]), strict=True):
+            got = self.parted(held)
+            # a tokenizer that joins words some other way has them one by one
+            out += got if len(got) == len(part) else self.plain([" " + w for w in part])
+        return out
+
+    def letters(self, words: list[str]) -> list[bytes]:
+        """The ids of words of letters alone with a blank before each, which are one piece and need no pre-tokenizer."""
+        asked = ["\u0120" + (w if w.isascii() else w.encode().decode("latin1").translate(self.symbols)) for w in words]
+        out = []
+        for held, n in ((self.ids(self.bare, asked[i : i + 8 * WORDS_AT_ONCE]), len(asked[i : i + 8 * WORDS_AT_ONCE])) for i in range(0, len(asked), 8 * WORDS_AT_ONCE)):
+            got = self.parted(held)
+            if len(got) != n:
+                return self.words(words)
+            out += got
+        return out
 
     def learn(self, words: set[str]) -> None:
-        """Puts the ids of new words (without the blank before them) into the cache."""
-        old = self.old
-        ask = []
+        """Puts the ids of new words (without the blank before them) into the cache.
+
+        Letters, stops behind them, a line's end and what follows it are pieces of their own, so most
+        words are made of few pieces that are known already or are met again.
+        """
+        old, new = self.old, self.new
+        made, lacking = [], set()
         for w in words:
             if (known := old.get(w)) is not None:
-                self.new[w] = known
-            # a last stop or comma is a piece of its own, so the word before it may be known already
-            elif len(w) > 2 and w[-1] in ".," and w[-2].isalpha() and w[0] != _FIRST and ((stem := self.new.get(w[:-1])) or (stem := old.get(w[:-1]))):
-                self.new[w] = stem + self.stops[w[-1]]
+                new[w] = known
+            elif (found := _PIECES.fullmatch(w)) and found.end(1) < len(w):
+                head, stops, after, last = found.groups()
+                parts = [head, _FIRST + stops] if stops else [head]
+                if after:
+                    parts += [_FIRST + "\n", _FIRST + after] + ([_FIRST + last] if last else [])
+                made.append((w, parts))
+                for x in parts:
+                    if x not in new:
+                        if (known := old.get(x)) is None:
+                            lacking.add(x)
+                        else:
+                            new[x] = known
             else:
-                ask.append(w)
-        for w, ids in zip(ask, self.plain([w[1:] if w[0] == _FIRST else " " + w for w in ask]), strict=True):
-            self.new[w] = ids
+                lacking.add(w)
+        first = [w for w in lacking if w[0] == _FIRST]
+        letters = [w for w in lacking if w[0] != _FIRST and _LETTERS.fullmatch(w)] if self.bare else []
+        rest = [*lacking.difference(first).difference(letters)]
+        new.update(zip(first, self.plain([w[1:] for w in first]), strict=True))
+        new.update(zip(letters, self.letters(letters), strict=True))
+        new.update(zip(rest, self.words(rest), strict=True))
+        for w, parts in made:
+            new[w] = b"".join([new[x] for x in parts])
 
     def encoded(self, texts: list[str]) -> list[bytes]:
         if not self.cuts:
             return self.plain(texts)
-        self.stops = dict(zip(".,", self.plain([".", ","]), strict=True))
         out: list = [None] * len(texts)
         cut, missing = [], set()
         if len(self.new) > CACHE_ENTRIES:
             self.new, self.old = {}, self.new
         for i, text in enumerate(texts):
+            if _FIRST in text:
+                out[i] = self.plain([text])[0]
+                continue
             parts = text.split(" ")
             parts[0] = _FIRST + parts[0]
             got = list(map(self.new.get, parts))
             if None in got:
                 lacking = set(compress(parts, map(is_, got, repeat(None))))
                 # words with white space at an edge are never in the cache, so they are met here
-                if any(_EDGE.search(w.removeprefix(_FIRST)) for w in lacking) or any(s in text for s in self.special):
+                bare = [w.removeprefix(_FIRST) for w in lacking]
+                if "" in bare or any(map(ne, bare, [w.strip(_BLANKS) for w in bare])) or any(s in text for s in self.special):
                     parts = _SAFE.split(text)
                     parts[0] = _FIRST + parts[0]
                     lacking = {w for w in parts if w not in self.new}
@@ -113,7 +182,14 @@ def encoded(texts: list[str], path: str, dtype: str) -> list[bytes]:
     """The ids of each text, as bytes of dtype."""
     if path not in _LOADED:
         _LOADED[path] = _Encoder(path, dtype)
-    return _LOADED[path].encoded(texts)
+    # nothing here makes cycles, and the collector would look through all words again and again
+    on = gc.isenabled()
+    gc.disable()
+    try:
+        return _LOADED[path].encoded(texts)
+    finally:
+        if on:
+            gc.enable()
 
 
 def token_ids(docs: DataFrame, path: str, end_id: int | None = None) -> DataFrame:
