@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import keyed, partitions, staged
+from .common import keyed, mix_int, partitions, staged
 
 #: Independent draws of a fingerprint.
 SAMPLES = 64
@@ -65,11 +65,12 @@ def samples(h: Column, log_weight: Column, gamma: Column, draws: int = SAMPLES)
     """For each draw, level and identity of (term, t) in one integer, so that the least wins."""
     out = []
     for d in range(draws):
-        x = F.xxhash64(h, F.lit(d))
+        x = F.xxhash64(h.bitwiseXOR(F.lit(mix_int(d + 1) - (1 << 63))))
         i = x.bitwiseAND(F.lit(QUANTILES - 1)).cast("int")
         j = F.shiftright(x, 12).bitwiseAND(F.lit(QUANTILES - 1)).cast("int")
         b = F.shiftrightunsigned(x, 24).cast("double") * F.lit(2.0**-40)
-        t = (log_weight * F.get(gamma, i + F.lit(QUANTILES)) + b).cast("long")
+        # most terms come once, and then t is 0
+        t = F.when(log_weight == 0, F.lit(0).cast("long")).otherwise((log_weight * F.get(gamma, i + F.lit(QUANTILES)) + b).cast("long"))
         level = F.get(gamma, j + F.lit(2 * QUANTILES)) - F.get(gamma, i) * (t.cast("double") - b + F.lit(1.0))
         # levels lie between -64 and 64; 26 bits of their fraction are kept
         high = F.shiftleft(((level + F.lit(64.0)) * F.lit(2.0**26)).cast("long"), 29)
