@@ -9,11 +9,15 @@ a token. The work is laid out so that only what can still matter travels:
    so a very common token is no burden to its range.
 2. That is done twice. At first only tokens of the lowest hashes go, in 40 bits: a set of which
    more than n - ceil(t n) of these occur nowhere else has no partner, however many others do. Then
-   all tokens go of one document for each set that is left; packets get back their shared tokens,
-   and a set with fewer than ceil(t n) of them has no partner. So most tokens never travel.
+   all tokens go of one document for each set that is left; packets get back their shared tokens
+   with how many documents sent each, and a set with fewer than ceil(t n) of them has no partner.
+   So most tokens never travel, and only documents whose key a sieve lets through are cut into
+   words again.
 3. For the rest, tokens are ordered by frequency (ties by different hashes, and once by frequency
    class alone), and each order links sets that share a prefix token, by stars, not pairs. Sets
-   that are connected under every order form a family.
+   that are connected under every order form a family. Frequencies are each token's own: were
+   tokens counted in slots of one table, slots would fill as the input grows, common tokens would
+   come into prefixes, and families grow into one another.
 4. Families are verified exactly, in blocks, by products of incidence matrices; a block pair puts
    out links that span what it found, not all pairs.
 """
@@ -35,8 +39,8 @@ PACKET = 1_500_000
 PACKET_DOCS = 1 << 16
 #: Of so many parts of all hashes, these are looked at first, with so many bits less, as they only narrow what follows.
 PARTS, FIRST_PARTS, SHORT = 8, 3, np.uint64(24)
-#: Slots of the frequency table that goes to all executors: its size does not depend on the data.
-SLOTS = 1 << 20
+#: Steps of a frequency between a number and twice that number.
+OCTAVE = 2000
 #: Sets that are compared with each other at once.
 BLOCK = 1000
 #: Global token orders.
@@ -44,7 +48,7 @@ ORDERS = 3
 
 _PACKED = "kind int, bucket long, packet long, a binary, b binary, c binary, d binary"
 _EMPTY = {"kind": pa.int32(), "bucket": pa.int64(), "packet": pa.int64(), "a": pa.binary(), "b": pa.binary(), "c": pa.binary(), "d": pa.binary()}
-_DOCS, _SINGLE, _COMMON, _SHARED = range(4)
+_DOCS, _SINGLE, _COMMON, _SHARED, _COUNTED = range(5)
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
@@ -82,15 +86,11 @@ def _set_ids(tokens: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return mix((total[ends[1:]] - total[ends[:-1]]) ^ mix(n + np.uint64(1)))
 
 
-def _document_keys(ids: np.ndarray, sets: np.ndarray) -> np.ndarray:
-    return mix(mix(ids.astype("<i8").view(np.uint64)) ^ sets)
-
-
 def _packets(k: int, buckets: int, first_parts: bool = False, bits: np.ndarray | None = None):
-    """Documents (doc_id, text) to packed rows.
+    """Documents (doc_id, text, key) to packed rows.
 
     With first_parts, only the tokens of FIRST_PARTS go, shortened, and the replies name documents
-    alone. With bits, documents that this sieve holds back are left out.
+    alone. With bits, documents whose key this sieve holds back are left out.
     """
     most = (1 << 64) // PARTS * FIRST_PARTS if first_parts else 1 << 64
     width = np.uint64(((most >> int(SHORT)) if first_parts else most) // buckets + 1)
@@ -107,8 +107,8 @@ def _packets(k: int, buckets: int, first_parts: bool = False, bits: np.ndarray |
             ids = np.concatenate([x[0] for x in held])
             known = np.concatenate([x[1] for x in held])
             tokens = np.concatenate([x[2] for x in held])
-            n, sent, sets = (np.concatenate([x[i] for x in held]) for i in (3, 4, 5))
-            rows = [(_DOCS, -1 - packet, packet, ids.tobytes(), known.tobytes(), sets.tobytes(), np.concatenate([n, sent]).astype("<u4").tobytes())]
+            n, sent, sets, keys = (np.concatenate([x[i] for x in held]) for i in (3, 4, 5, 6))
+            rows = [(_DOCS, -1 - packet, packet, ids.tobytes(), known.tobytes(), sets.tobytes(), np.concatenate([n, sent]).astype("<u4").tobytes() + keys.tobytes())]
             # equal sets of a packet send their tokens once
             _, first = np.unique(sets, return_index=True)
             keep = np.zeros(len(n), bool)
@@ -124,8 +124,9 @@ def _packets(k: int, buckets: int, first_parts: bool = False, bits: np.ndarray |
             if shared.any():
                 rows.append((_SHARED, -1 - packet, packet, None if first_parts else tokens[shared].tobytes(), of[shared].tobytes(), None, None))
             one, of_one = tokens[~shared], of[~shared]
-            common = tokens[shared & ~same[:-1]]
-            for kind, h, refs in ((_SINGLE, one, of_one), (_COMMON, common, None)):
+            first = np.flatnonzero(shared & ~same[:-1])
+            common, times = tokens[first], None if first_parts else (np.flatnonzero(same[:-1] & ~same[1:]) + 1 - first).astype("<u2")
+            for kind, h, refs in ((_SINGLE, one, of_one), (_COMMON, common, times)):
                 bucket = (h // width).astype(np.int64)
                 edge = np.flatnonzero(np.diff(bucket)) + 1
                 for a, b in zip(np.concatenate([[0], edge]), np.concatenate([edge, [len(h)]]), strict=True):
@@ -135,8 +136,10 @@ def _packets(k: int, buckets: int, first_parts: bool = False, bits: np.ndarray |
             return rows
 
         for batch in batches:
+            if bits is not None:
+                batch = batch.filter(pa.array(sieved(bits, batch.column(2).to_numpy())))
             data, at = text_bytes(batch.column(1))
-            ids = batch.column(0)
+            ids, keys = batch.column(0), batch.column(2).to_numpy().astype("<i8")
             known = np.asarray(ids.is_valid())
             ids = ids.fill_null(0).to_numpy(zero_copy_only=False)
             for first, last in slices(at, 1 << 21):
@@ -145,13 +148,12 @@ def _packets(k: int, buckets: int, first_parts: bool = False, bits: np.ndarray |
                 parts = [np.unique(shingles[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
                 tokens, n = np.concatenate(parts), np.array([len(p) for p in parts], np.int64)
                 own, sets = ids[first:last].astype("<i8"), _set_ids(tokens, np.concatenate([[0], np.cumsum(n)]))
-                here = np.ones(last - first, bool) if bits is None else sieved(bits, _document_keys(own, sets))
-                if not here.any():
-                    continue
-                of = np.repeat(np.arange(last - first), n)
-                goes = here[of] if not first_parts else tokens < np.uint64(most)
-                tokens, sent = tokens[goes], np.bincount(of[goes], minlength=last - first)[here]
-                held.append((own[here], known[first:last][here].astype(np.uint8), tokens >> SHORT if first_parts else tokens, n[here], sent, sets[here]))
+                sent = n
+                if first_parts:
+                    goes = tokens < np.uint64(most)
+                    sent = np.bincount(np.repeat(np.arange(last - first), n)[goes], minlength=last - first)
+                    tokens = tokens[goes] >> SHORT
+                held.append((own, known[first:last].astype(np.uint8), tokens, n, sent, sets, keys[first:last]))
                 size, docs = size + len(tokens), docs + len(sent)
                 if size >= PACKET or docs >= PACKET_DOCS // 2:
                     yield _rows(packed())
@@ -161,8 +163,13 @@ def _packets(k: int, buckets: int, first_parts: bool = False, bits: np.ndarray |
     return each
 
 
-def _told(tokens: bool):
-    """Of one range of hashes: which tokens occur in several sets, told to their packets, or of which documents they are."""
+def steps(n: np.ndarray) -> np.ndarray:
+    """Frequencies in two bytes, in steps that rise with them; smaller ones than about 2,900 have a step of their own."""
+    return (np.log2(n) * OCTAVE).astype("<u2")
+
+
+def _told(tokens: bool, counted: bool = False):
+    """Of one range of hashes: which tokens occur in several sets (and, if counted, how often), told to their packets, or of which documents they are."""
 
     def each(table: pa.Table) -> pa.Table:
         kind = table.column("kind").to_pylist()
@@ -178,12 +185,20 @@ def _told(tokens: bool):
         same[1:-1] = ranked[1:] == ranked[:-1]
         several = np.zeros(len(every), bool)
         several[order] = same[1:] | same[:-1]
+        often = np.zeros(len(every), "<u2")
+        if counted and len(every):
+            times = np.concatenate([np.ones(n, np.int64) if k == _SINGLE else np.frombuffer(x, "<u2").astype(np.int64) for k, n, x in zip(kind, size, b, strict=True)])
+            first = np.flatnonzero(~same[:-1])
+            often[order] = np.repeat(steps(np.add.reduceat(times[order], first)), np.diff(np.append(first, len(every))))
         ends = np.concatenate([[0], np.cumsum(size)])
         rows = []
         for i, k in enumerate(kind):
-            hit = several[ends[i] : ends[i + 1]]
+            own = slice(ends[i], ends[i + 1])
+            hit = several[own]
             if k == _SINGLE and hit.any():
-                rows.append((_SHARED, -1 - packet[i], packet[i], hashes[i][hit].tobytes() if tokens else None, np.frombuffer(b[i], "<u2")[hit].tobytes(), None, None))
+                rows.append((_SHARED, -1 - packet[i], packet[i], hashes[i][hit].tobytes() if tokens else None, np.frombuffer(b[i], "<u2")[hit].tobytes(), often[own][hit].tobytes() if counted else None, None))
+            elif k == _COMMON and counted:
+                rows.append((_COUNTED, -1 - packet[i], packet[i], a[i], None, often[own].tobytes(), None))
         return pa.Table.from_batches([_rows(rows)])
 
     return each
@@ -193,23 +208,24 @@ _shared_tokens = _told(True)
 
 
 def _packet(table: pa.Table) -> tuple[np.ndarray, ...]:
-    """Of one packet: ids, sets, sizes and numbers of tokens sent of its documents, and those of its shared tokens."""
-    kind, a, b = (table.column(c).to_pylist() for c in ("kind", "a", "b"))
+    """Of one packet: keys, sets, sizes and numbers of tokens sent of its documents, and those of its shared tokens."""
+    kind, b = (table.column(c).to_pylist() for c in ("kind", "b"))
     at = kind.index(_DOCS)
-    sets, (n, sent) = np.frombuffer(table.column("c")[at].as_py(), "<u8"), np.frombuffer(table.column("d")[at].as_py(), "<u4").astype(np.int64).reshape(2, -1)
-    return np.frombuffer(a[at], "<i8"), sets, n, sent, np.concatenate([np.frombuffer(x, "<u2") for x, k in zip(b, kind, strict=True) if k == _SHARED] or [np.zeros(0, "<u2")])
+    sets, d = np.frombuffer(table.column("c")[at].as_py(), "<u8"), table.column("d")[at].as_py()
+    n, sent = np.frombuffer(d, "<u4", 2 * len(sets)).astype(np.int64).reshape(2, -1)
+    return np.frombuffer(d, "<i8", offset=8 * len(sets)), sets, n, sent, np.concatenate([np.frombuffer(x, "<u2") for x, k in zip(b, kind, strict=True) if k == _SHARED] or [np.zeros(0, "<u2")])
 
 
 def _left(t: Fraction):
     """Sets that may have a partner by what was sent of them, with a key of each document."""
 
     def each(table: pa.Table) -> pa.Table:
-        ids, sets, n, sent, of = _packet(table)
+        keys, sets, n, sent, of = _packet(table)
         # of equal sets of a packet, the first had its tokens sent
         _, first = np.unique(sets, return_index=True)
         alone = sent - np.bincount(of, minlength=len(n))
         at = first[(n[first] > 0) & (alone[first] <= n[first] - needed(n[first], t))]
-        return pa.table({"set_id": pa.array(sets[at].view(np.int64)), "key": pa.array(_document_keys(ids[at], sets[at]).view(np.int64))})
+        return pa.table({"set_id": pa.array(sets[at].view(np.int64)), "key": pa.array(keys[at])})
 
     return each
 
@@ -217,68 +233,41 @@ def _left(t: Fraction):
 def _survivors(t: Fraction):
     def each(table: pa.Table) -> pa.Table:
         _, sets, n, _, of = _packet(table)
-        kind, a = (table.column(c).to_pylist() for c in ("kind", "a"))
+        kind, a, c = (table.column(x).to_pylist() for x in ("kind", "a", "c"))
         tokens = np.concatenate([np.frombuffer(x, "<u8") for x, k in zip(a, kind, strict=True) if k == _SHARED] or [np.zeros(0, "<u8")])
+        # what the packet shares within itself was counted apart, once for all its documents
+        told = [(unpack_sorted(x), np.frombuffer(y, "<u2")) for x, y, k in zip(a, c, kind, strict=True) if k == _COUNTED]
+        common, times = (np.concatenate([x[i] for x in told]) for i in (0, 1)) if told else (np.zeros(0, "<u8"), np.zeros(0, "<u2"))
+        order = np.argsort(common)
+        common, times = common[order], times[order]
+        often = [times[np.searchsorted(common, np.frombuffer(x, "<u8"))] if y is None else np.frombuffer(y, "<u2") for x, y, k in zip(a, c, kind, strict=True) if k == _SHARED]
+        often = np.concatenate(often or [np.zeros(0, "<u2")])
         enough = np.flatnonzero((np.bincount(of, minlength=len(n)) >= needed(n, t)) & (n > 0))
         keep = np.isin(of, enough)
         order = np.argsort(of[keep], kind="stable")
-        tokens, of = tokens[keep][order], of[keep][order]
+        tokens, often, of = tokens[keep][order], often[keep][order], of[keep][order]
         ends = np.searchsorted(of, np.append(enough, 1 << 16))
-        return pa.table({"set_id": pa.array(sets[enough].view(np.int64)), "n": pa.array(n[enough]), "tokens": pa.array([tokens[x:y].tobytes() for x, y in zip(ends[:-1], ends[1:], strict=True)], pa.binary())})
+        tokens, often = (pa.array([x[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary()) for x in (tokens, often))
+        return pa.table({"set_id": pa.array(sets[enough].view(np.int64)), "n": pa.array(n[enough]), "tokens": tokens, "often": often})
 
     return each
 
 
-def frequencies(sets: DataFrame) -> np.ndarray:
-    """How many tokens fall in each of SLOTS slots, over all rows; its size is fixed."""
-
-    def each(batches):
-        total = np.zeros(SLOTS, np.int64)
-        for batch in batches:
-            for first in range(0, batch.num_rows, 1024):
-                held = b"".join(batch.column(0).slice(first, 1024).to_pylist())
-                total += np.bincount(_slot(np.frombuffer(held, "<u8")), minlength=SLOTS)
-        at = np.flatnonzero(total)
-        edge = np.searchsorted(at, np.arange(0, SLOTS + 1, SLOTS // 64))
-        rows = [(i, at[x:y].astype("<u4").tobytes(), total[at[x:y]].astype("<u4").tobytes()) for i, (x, y) in enumerate(zip(edge[:-1], edge[1:], strict=True)) if y > x]
-        columns = list(zip(*rows, strict=True)) if rows else [[], [], []]
-        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.binary()), pa.array(columns[2], pa.binary())], ["part", "slot", "n"])
-
-    def added(table: pa.Table) -> pa.Table:
-        total = np.zeros(SLOTS, np.int64)
-        for s, n in zip(table.column("slot").to_pylist(), table.column("n").to_pylist(), strict=True):
-            total[np.frombuffer(s, "<u4")] += np.frombuffer(n, "<u4")
-        at = np.flatnonzero(total)
-        return pa.table({"slot": pa.array([at.astype("<u4").tobytes()], pa.binary()), "n": pa.array([np.minimum(total[at], 2**32 - 1).astype("<u4").tobytes()], pa.binary())})
-
-    got = sets.select("tokens").mapInArrow(each, "part int, slot binary, n binary").groupBy("part").applyInArrow(added, "slot binary, n binary").collect()
-    out = np.zeros(SLOTS, np.uint32)
-    for r in got:
-        out[np.frombuffer(r["slot"], "<u4")] = np.frombuffer(r["n"], "<u4")
-    return out
-
-
-def _slot(tokens: np.ndarray) -> np.ndarray:
-    return (mix(tokens ^ np.uint64(0x2545F4914F6CDD1D)) >> np.uint64(64 - SLOTS.bit_length() + 1)).astype(np.int64)
-
-
-def _prefixes(t: Fraction, count: np.ndarray):
-    """Prefix tokens of each set that can be shared, under each order."""
+def _prefixes(t: Fraction):
+    """Prefix tokens of each set (set_id, n, tokens, often) that can be shared, under each order."""
 
     def each(batches):
         for batch in batches:
             out_set, out_key = [], []
-            for set_id, n, held in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                tokens = np.frombuffer(held.as_buffer(), "<u8")
-                often = count[_slot(tokens)]
-                # a slot with one token is a token of this set alone; such tokens come first
-                tokens, often = tokens[often > 1], often[often > 1]
+            for set_id, n, held, times in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
+                # tokens that no other set has come first, and are not here
+                tokens, often = np.frombuffer(held.as_buffer(), "<u8"), np.frombuffer(times.as_buffer(), "<u2")
                 least = int(needed(np.array([n]), t)[0])
                 room = n - least + 1 - (n - len(tokens))
                 if room <= 0:
                     continue
                 for order in range(ORDERS):
-                    rank = np.log2(often).astype(np.uint32) if order == ORDERS - 1 else often
+                    rank = often // OCTAVE if order == ORDERS - 1 else often
                     tie = mix(tokens ^ np.uint64(mix_int(order + 11)))
                     first = tokens[np.lexsort((tie, rank))[:room]]
                     out_key.append(mix(first ^ np.uint64(mix_int(order + 101))))
@@ -364,6 +353,7 @@ def near_sets(docs: DataFrame, k: int = 5, threshold: str = "0.8") -> tuple[Data
     t = Fraction(threshold)
     buckets = 4 * partitions(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
+    docs = docs.withColumn("key", F.xxhash64(F.isnull("doc_id"), "doc_id", "text"))
     told = staged(docs.mapInArrow(_packets(k, buckets, first_parts=True), _PACKED).groupBy("bucket").applyInArrow(_told(False), _PACKED), "first")
 
     def doc_rows(batches):
@@ -379,18 +369,17 @@ def near_sets(docs: DataFrame, k: int = 5, threshold: str = "0.8") -> tuple[Data
     dropped(told)
     released(spark)
     # what the sieve lets through besides is only looked at in vain
-    told = staged(docs.mapInArrow(_packets(k, buckets, bits=bits), _PACKED).groupBy("bucket").applyInArrow(_shared_tokens, _PACKED), "shared")
+    told = staged(docs.mapInArrow(_packets(k, buckets, bits=bits), _PACKED).groupBy("bucket").applyInArrow(_told(True, counted=True), _PACKED), "shared")
     released(spark)
-    left = told.where(kept).groupBy("packet").applyInArrow(_survivors(t), "set_id long, n long, tokens binary")
+    left = told.groupBy("packet").applyInArrow(_survivors(t), "set_id long, n long, tokens binary, often binary")
     # equal sets of several packets: whichever packet found the most shared tokens has them all
     left = staged(left, "left")
     dropped(told)
-    every, left = left, left.groupBy("set_id").agg(F.max_by(F.struct("n", "tokens"), F.length("tokens")).alias("x")).select("set_id", "x.n", "x.tokens")
+    every, left = left, left.groupBy("set_id").agg(F.max_by(F.struct("n", "tokens", "often"), F.length("tokens")).alias("x")).select("set_id", "x.n", "x.tokens", "x.often")
     left = staged(left, "left")
     dropped(every)
     released(spark)
-    count = frequencies(left)
-    keys = staged(left.mapInArrow(_prefixes(t, count), "node long, key long"), "prefixes")
+    keys = staged(left.mapInArrow(_prefixes(t), "node long, key long"), "prefixes")
     stars = keys.join(keys.groupBy("key").agg(F.min("node").alias("b")), "key").select(F.col("node").alias("a"), "b")
     part = components(stars)
     nodes = left.select("set_id").mapInArrow(_order_nodes, "set_id long, " + ", ".join(f"node{o} long" for o in range(ORDERS)))
